@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("events",)
+MODULES = ("events", "text")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from reelspan.functions.text import TOKEN, WS
 from reelspan.lexicon import Lexicon
 
-WORD_CHAR = r"\pL\pN_\pM"
+WORD_CHAR = r"\pL\p{Nd}_\pM"
 
 # A lexicon in the invented languages of the test tables.
 FIX = Lexicon(
@@ -184,9 +184,14 @@ def structural(src: str, text: str, lex: Lexicon, out: str = "arc") -> str:
 
 
 def quantity(x: str, lex: Lexicon) -> str:
-    """Text without digits needs only the words; runs of 3+ digits count when they end at a word boundary."""
-    run = f"regexp_extract({x}, {q(f'(?:^|[^{WORD_CHAR}])(\\p{{Nd}}[\\p{{Nd}}{WS[1:-1]}.,]*)')}, 1)"
-    return f"({any_of(x, lex.quantity_words)} OR length(regexp_replace({run}, '[^0-9]', '', 'g')) >= 3)"
+    """Quantity word, or a first number of three or more digits.
+
+    A number starts and ends at word boundaries; trailing blanks, marks and % add no digits.
+    """
+    sep = WS[1:-1] + ".,"
+    number = f"(?:^|[^{WORD_CHAR}])(\\p{{Nd}}(?:[\\p{{Nd}}{sep}]*\\p{{Nd}})?)(?:[^{WORD_CHAR}]|$)"
+    run = f"regexp_extract({x}, {q(number)}, 1)"
+    return f"({any_of(x, lex.quantity_words)} OR length(regexp_replace({run}, '\\P{{Nd}}', '', 'g')) >= 3)"
 
 
 def result(x: str, lex: Lexicon) -> str:

@@ -99,7 +99,7 @@ def filter_quality(df: DataFrame, min_score: float, n: int, lex: Lexicon = DEFAU
     """Penalise, drop advertising and weak rows, keep the best n per recording."""
     from reelspan.operators.ranking import top_per_key
 
-    kept = apply_quality_penalty(df, lex).where(
+    kept = tx.settle(apply_quality_penalty(df, lex), "final_score", "problems").where(
         (F.col("final_score") >= min_score) & ~F.array_contains("problems", "ad or CTA language")
     )
     return top_per_key(kept, ["project_id"], [F.desc("final_score"), F.asc("id")], n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.lexicon import DEFAULT, Lexicon
 
@@ -21,6 +21,19 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Pin computed columns before they are filtered on.
+
+    Catalyst pushes a filter below the projections that compute its columns and
+    thereby repeats their whole expression tree per reference; over staged text
+    scores that tree explodes. A one-element generator is a natural stop: the
+    filter can only use its output.
+    """
+    rest = [c for c in df.columns if c not in names]
+    pinned = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_pinned"))
+    return pinned.select(*rest, *[F.col(f"_pinned.{n}").alias(n) for n in names]).select(*df.columns)
+
+
 def contains_any(text: Column, patterns) -> Column:
     return reduce(or_, [text.contains(p) for p in patterns], F.lit(False))
 

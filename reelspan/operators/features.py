@@ -110,5 +110,5 @@ def labeled_rows(decisions: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     m = d.select("*", *[F.col(c).alias(c[2:]) for c in fallback_cols if c[2:] not in d.columns])
     m = with_features(m, lex, "_live").drop(*[c[2:] for c in fallback_cols if c[2:] not in d.columns])
     m = m.withColumn("features", F.when(F.col("features_json").isNotNull(), F.col("_snap")).otherwise(F.col("_live")))
-    m = m.where(F.col("features").isNotNull() & (F.col("features.moment_type") != "unknown")).drop("_snap", "_live")
+    m = tx.settle(m, "features").where(F.col("features").isNotNull() & (F.col("features.moment_type") != "unknown")).drop("_snap", "_live")
     return m.withColumns({n: ev.metric_value(n) for n in ev.METRIC_NAMES})

@@ -128,7 +128,7 @@ def pool_order() -> list:
 def heuristic_moments(windows: DataFrame, p: ClipParams = ClipParams(), lex: Lexicon = DEFAULT) -> DataFrame:
     """Score windows, drop weak ones twice (before and after the quality penalty), keep the pool."""
     d = sc.with_text_scores(windows, "text", "duration", lex)
-    d = d.withColumn("base_score", sc.base_score()).where(
+    d = tx.settle(d.withColumn("base_score", sc.base_score()), "base_score").where(
         F.col("base_score") >= max(32.0, p.min_score - 22)
     )
     d = sc.with_moment_type(d, "text", lex)
@@ -156,7 +156,9 @@ def heuristic_moments(windows: DataFrame, p: ClipParams = ClipParams(), lex: Lex
             F.lit("; hook and payoff scored from the transcript."),
         ),
     })
-    d = sc.apply_quality_penalty(d, lex).where(F.col("final_score") >= max(32.0, p.min_score - 18))
+    d = tx.settle(sc.apply_quality_penalty(d, lex), "final_score").where(
+        F.col("final_score") >= max(32.0, p.min_score - 18)
+    )
     return top_per_key(d, ["project_id"], pool_order(), p.pool_size).drop("first_text", "last_text", "anchor_pos", "last_pos")
 
 

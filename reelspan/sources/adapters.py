@@ -103,7 +103,7 @@ def training_rows(spark: SparkSession, sf: str, lex) -> DataFrame:
     d = moments(spark, sf).join(
         table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), "toxic"), "id"
     )
-    d = with_features(d, lex, "features")
+    d = tx.settle(with_features(d, lex, "features"), "features")
     return d.withColumns({
         "retention_percent": F.when(F.col("id") % 3 != 0, (F.col("id") % 120).cast("double")),
         "avg_watch_time_sec": (F.col("id") % 50) / 2.0, "views": F.col("id") % 1000,
