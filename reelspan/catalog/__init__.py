@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("events", "text")
+MODULES = ("events", "text", "moments")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
