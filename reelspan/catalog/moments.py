@@ -11,6 +11,7 @@ from reelspan.functions.text import jaccard, normalize_clean, round2, round_to,
 from reelspan.operators import boundary as bd, calibrate as cal, chain as ch, promo as pr, segment as sg, select as sl, windows as wn
 from reelspan.params import ClipParams, LearningParams, Params, SuggestionParams
 from reelspan.plans import analyze as an
+from reelspan.session import cut_lineage
 from reelspan.sources import adapters as ad, files as fl
 
 QUERIES, ORACLES = {}, {}
@@ -27,7 +28,8 @@ def query(sql: str | None = None):
 
 
 def sentences(spark, sf):
-    return sg.segment_sentences(ad.segments(spark, sf))
+    """The sentence table; checkpointed because every query reads it more than once."""
+    return cut_lineage(sg.segment_sentences(ad.segments(spark, sf)))
 
 
 def windows(spark, sf):
@@ -132,9 +134,9 @@ def interval_text(spark, sf):
    THEN greatest(0, least(100, 38 + (len(u) - 1) * 15 + least(25.0::DOUBLE, sw / greatest(1.0, d) * 85))) ELSE 0 END''', 4)} AS dialogue_score FROM n""")
 def closed_interval_metrics(spark, sf):
     iv, s = _shifted(spark, sf), sentences(spark, sf)
-    d = wn.closed_interval_text(iv, s).join(wn.interval_speaker_metrics(iv, s), ["project_id", "id"])
-    return d.select("project_id", "id", F.md5(F.col("interval_text").cast("binary")).alias("text"), "_m.speaker_count",
-                    "_m.speaker_switches", round_to(F.col("_m.dialogue_score"), 4).alias("dialogue_score"))
+    d = wn.interval_speaker_metrics(wn.closed_interval_text(iv, s), s)
+    return d.select("project_id", "id", F.md5(F.col("interval_text").cast("binary")).alias("text"), "speaker_count",
+                    "speaker_switches", round_to(F.col("dialogue_score"), 4).alias("dialogue_score"))
 
 
 @query(f"""WITH {S.SEGMENTS}, iv AS (SELECT project_id, pos AS id, "start" - 5 AS s, "end" + 5 AS e FROM segments),
@@ -224,8 +226,8 @@ def promo_blocks(spark, sf):
 
 
 @query(f"""WITH {PROMO}, {WINDOWS.replace(S.SENTENCES + ',', '')}, iv AS (SELECT project_id, 'w_' || anchor_pos || '_' || last_pos AS id, {r('"start" + 0.31')} AS s, {r('"end" - 0.42')} AS e FROM windows),
- o AS (SELECT iv.project_id, iv.id, coalesce(max(greatest(0, least(e, core_end) - greatest(s, core_start))), 0) AS sec,
-  coalesce(max(greatest(0, least(e, core_end) - greatest(s, core_start)) / greatest(0.001, e - s)), 0) AS ratio FROM iv LEFT JOIN promo p ON p.project_id = iv.project_id GROUP BY ALL)
+ o AS (SELECT iv.project_id, iv.id, coalesce(max(greatest(0, least(e, core_end) - greatest(s, core_start))) FILTER (core_start IS NOT NULL), 0) AS sec,
+  coalesce(max(greatest(0, least(e, core_end) - greatest(s, core_start)) / greatest(0.001, e - s)) FILTER (core_start IS NOT NULL), 0) AS ratio FROM iv LEFT JOIN promo p ON p.project_id = iv.project_id GROUP BY ALL)
  SELECT project_id, id, {r('sec', 4)} AS promo_seconds, {r('ratio', 4)} AS promo_ratio, sec >= 2 OR ratio >= 0.1 AS promotional FROM o""")
 def promo_overlap(spark, sf):
     d = pr.promo_overlap(_shifted(spark, sf), pr.promotional_blocks(sentences(spark, sf), FIX))
@@ -255,9 +257,8 @@ b0 AS (SELECT iv.*, d.td, (SELECT max(pos) FROM f4 WHERE f4.project_id = iv.proj
   (SELECT min(pos) FROM f4 WHERE f4.project_id = iv.project_id AND f4.e >= iv.e - 1.0) AS ep,
   (SELECT min(pos) FROM f4 WHERE f4.project_id = iv.project_id AND f4.e >= iv.e - 0.2) AS np
   FROM iv JOIN (SELECT project_id, max("end") AS td FROM segments GROUP BY 1) d USING (project_id)),
-b1 AS (SELECT b0.project_id, b0.id, td, np, e AS me, a.s AS asx, a.pe AS ape, x.e AS xe, least(e + 0.45, greatest(0, s - 0.35) + 48) AS e_raw FROM
-  (SELECT * FROM b0) b0 LEFT JOIN f4 a ON a.project_id = b0.project_id AND a.pos = ap LEFT JOIN (SELECT project_id, pos, e AS e_ FROM f4) y ON y.project_id = b0.project_id AND y.pos = ep
-  LEFT JOIN LATERAL (SELECT y.e_ AS e) x ON true),
+b1 AS (SELECT b0.project_id, b0.id, td, np, a.s AS asx, a.pe AS ape, y.e AS xe, least(b0.e + 0.45, greatest(0, b0.s - 0.35) + 48) AS e_raw FROM b0
+  LEFT JOIN f4 a ON a.project_id = b0.project_id AND a.pos = ap LEFT JOIN f4 y ON y.project_id = b0.project_id AND y.pos = ep),
 b2 AS (SELECT project_id, id, td, np, CASE WHEN ape > greatest(0, asx - 0.35) THEN least(asx, ape + 0.03) ELSE greatest(0, asx - 0.35) END AS st,
   coalesce(xe + 0.45, e_raw) - 0.45 AS fb FROM b1),
 b3 AS (SELECT b2.*, greatest(fb, f.e) + 18 AS deadline FROM b2 LEFT JOIN f4 f ON f.project_id = b2.project_id AND f.pos = np),
@@ -373,8 +374,8 @@ def _dup(c: str, e: str) -> str:
 
 _HARD = "list_filter(probs, lambda x: x IN ('ad or CTA language', 'promotional segment', 'teaser without payoff'))[1]"
 SELECT = f"""{CAL}, {_CANDS}, {PROMO.replace(S.SENTENCES + ',', '')},
-po AS (SELECT c.project_id, c.id, coalesce(bool_or(greatest(0, least(c.e, core_end) - greatest(c.s, core_start)) >= 2
-   OR greatest(0, least(c.e, core_end) - greatest(c.s, core_start)) / greatest(0.001, c.e - c.s) >= 0.1), false) AS promotional
+po AS (SELECT c.project_id, c.id, coalesce(bool_or(core_start IS NOT NULL AND (greatest(0, least(c.e, core_end) - greatest(c.s, core_start)) >= 2
+   OR greatest(0, least(c.e, core_end) - greatest(c.s, core_start)) / greatest(0.001, c.e - c.s) >= 0.1)), false) AS promotional
    FROM top c LEFT JOIN promo p ON p.project_id = c.project_id GROUP BY ALL),
 sel_0 AS (SELECT t.*, CASE WHEN promotional THEN list_append(list_concat(quality_problems, arc_problems), 'promotional segment') ELSE list_concat(quality_problems, arc_problems) END AS probs,
    {_TERMS} AS terms FROM top t JOIN po USING (project_id, id)),

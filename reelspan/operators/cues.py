@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.functions import text as tx
 from reelspan.lexicon import DEFAULT, GENERATED_EFFECTS, MONTAGE_PROFILES, MOTION_SCALES, Lexicon
-from reelspan.operators.intervals import overlap_join
+from reelspan.operators.intervals import overlap_aggregate
 from reelspan.params import EditParams
 
 _WORD = "array<struct<start:double,end:double,seg:bigint,i:int,text:string,speaker:string,probability:double>>"
@@ -24,11 +24,7 @@ def _let(value: Column, use) -> Column:
 
 def spoken_words(clips: DataFrame, segments: DataFrame) -> DataFrame:
     """Add ``words`` (clip time). Segments without word timing are spread evenly over the clipped part."""
-    o = overlap_join(
-        clips.select("project_id", "id", "start", "end", "duration"),
-        segments.select("project_id", "pos", "start", "end", "text", "speaker", "words"),
-        "project_id", closed=True,
-    )
+    segs = segments.select("project_id", "pos", "start", "end", "text", "speaker", "words")
     lo, hi, dur = F.col("start"), F.col("end"), F.col("duration")
     seg, speaker = F.col("r_pos"), F.col("r_speaker")
 
@@ -46,18 +42,19 @@ def spoken_words(clips: DataFrame, segments: DataFrame) -> DataFrame:
         ),
     )
     toks = F.regexp_extract_all("r_text", F.lit(r"(?U)(\w+(?:[?!.,…]+)?)"), F.lit(1))
-    o = o.withColumn("_toks", toks)
     first, last = F.greatest("r_start", lo), F.least("r_end", hi)
-    step = F.greatest(F.lit(0.05), (last - first) / F.size("_toks"))
-    spread = F.transform(
-        "_toks",
-        lambda t, i: local(t, first + i * step, first + i * step + step, speaker, F.lit(None).cast("double"), i),
-    )
+
+    def spread(t: Column) -> Column:
+        step = F.greatest(F.lit(0.05), (last - first) / F.size(t))
+        return F.transform(
+            t, lambda x, i: local(x, first + i * step, first + i * step + step, speaker, F.lit(None).cast("double"), i)
+        )
+
     empty = F.coalesce(F.size("r_words"), F.lit(0)) <= 0
-    o = o.withColumn("_w", F.when(empty, spread.cast(_WORD)).otherwise(timed.cast(_WORD)))
-    g = o.groupBy("project_id", "id").agg(F.array_sort(F.flatten(F.collect_list("_w"))).alias("words"))
-    return clips.join(g, ["project_id", "id"], "left").withColumn(
-        "words", F.coalesce("words", F.array().cast(_WORD))
+    heard = F.when(empty, _let(toks, spread).cast(_WORD)).otherwise(timed.cast(_WORD))
+    heard = F.when(seg.isNotNull(), heard)
+    return overlap_aggregate(
+        clips, segs, "project_id", ["id"], [F.array_sort(F.flatten(F.collect_list(heard))).alias("words")], closed=True
     )
 
 

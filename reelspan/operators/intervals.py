@@ -17,12 +17,13 @@ def _bucket(x: Column, width: float) -> Column:
 def overlap_join(
     left: DataFrame, right: DataFrame, key: str, width: float = 60.0,
     slack: float = 0.0, closed: bool = False,
-    l: tuple[str, str] = ("start", "end"), r: tuple[str, str] = ("start", "end"),
+    l: tuple[str, str] = ("start", "end"), r: tuple[str, str] = ("start", "end"), how: str = "inner",
 ) -> DataFrame:
-    """Inner join of overlapping intervals. Right columns get the prefix ``r_``.
+    """Join of overlapping intervals. Right columns get the prefix ``r_``.
 
     ``closed`` keeps touching intervals; otherwise both ends must overlap by
-    more than ``slack``.
+    more than ``slack``. With ``how="left"`` a left row also appears, without
+    right side, in every bucket where it meets nothing (see overlap_aggregate).
     """
     ls, le = F.col(l[0]), F.col(l[1])
     a = left.withColumn("_b", F.explode(F.sequence(_bucket(ls, width), F.greatest(_bucket(ls, width), _bucket(le, width)))))
@@ -32,10 +33,27 @@ def overlap_join(
     hit = (re_ >= ls) & (rs <= le) if closed else (re_ > ls + slack) & (rs < le - slack)
     first_shared = F.col("_b") == F.greatest(_bucket(ls, width), _bucket(rs, width))
     return a.join(
-        b, (F.col(key) == F.col(f"r_{key}")) & (F.col("_b") == F.col("_rb")) & first_shared & hit
+        b, (F.col(key) == F.col(f"r_{key}")) & (F.col("_b") == F.col("_rb")) & first_shared & hit, how
     ).drop("_b", "_rb", f"r_{key}")
 
 
+def overlap_aggregate(
+    left: DataFrame, right: DataFrame, key: str, ids: list[str], aggs: list[Column], **join
+) -> DataFrame:
+    """Left rows (unique by ``key`` and ``ids``) plus aggregates over the right rows they overlap.
+
+    The left row travels through the join and the grouping, so it is neither
+    computed nor shuffled a second time for a join back. Aggregates must ignore
+    nulls: rows without any partner arrive with an empty right side.
+    """
+    rest = [c for c in left.columns if c not in (key, *ids)]
+    g = overlap_join(left, right, key, how="left", **join).groupBy(key, *ids).agg(
+        F.first(F.struct(*rest)).alias("_row"), *aggs
+    )
+    extra = [c for c in g.columns if c not in (key, *ids, "_row")]
+    return g.select(key, *ids, *[F.col(f"_row.{c}").alias(c) for c in rest], *extra).select(*left.columns, *extra)
+
+
 def point_join(
     points: DataFrame, spans: DataFrame, key: str, point: str, lo: str, hi: str, width: float,
     open_lo: bool = False, open_hi: bool = False,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reelspan.functions import scoring as sc, text as tx
 from reelspan.lexicon import DEFAULT, Lexicon
 from reelspan.operators.chain import greedy_spacing
-from reelspan.operators.intervals import overlap_join, point_join
+from reelspan.operators.intervals import overlap_aggregate, point_join
 from reelspan.operators.ranking import top_per_key
 from reelspan.operators.scan import with_halo
 from reelspan.operators.segment import count_switches
@@ -78,6 +78,10 @@ def candidate_windows(sentences: DataFrame, p: ClipParams = ClipParams(), chunk_
     """
     longest = p.max_duration_sec
     d = with_halo(sentences, F.col("start"), chunk_sec, after=longest)
+    # Windows repeat each sentence about twenty times. AQE would size partitions by
+    # the small input, so their number is pinned to the session's setting.
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(n, "project_id", "_chunk")
     frame = (
         Window.partitionBy("project_id", "_chunk").orderBy("start")
         .rangeBetween(0, int(math.ceil(longest)))
@@ -162,13 +166,12 @@ def heuristic_moments(windows: DataFrame, p: ClipParams = ClipParams(), lex: Lex
     return top_per_key(d, ["project_id"], pool_order(), p.pool_size).drop("first_text", "last_text", "anchor_pos", "last_pos")
 
 
-def _joined_sentences(moments: DataFrame, sentences: DataFrame, closed: bool, slack: float) -> DataFrame:
+def _with_sentences(moments: DataFrame, sentences: DataFrame, closed: bool, slack: float) -> DataFrame:
+    """Add ``_win``: the overlapped sentences in order."""
     item = F.struct("pos", "start", "end", "text", "speaker", "speakers", "speaker_switches").alias("item")
     s = sentences.select("project_id", "start", "end", item)
-    return (
-        overlap_join(moments.select("project_id", "id", "start", "end"), s, "project_id", closed=closed, slack=slack)
-        .groupBy("project_id", "id").agg(F.array_sort(F.collect_list("r_item")).alias("_win"))
-    )
+    win = F.array_sort(F.collect_list("r_item")).alias("_win")
+    return overlap_aggregate(moments, s, "project_id", ["id"], [win], closed=closed, slack=slack)
 
 
 def interval_text(moments: DataFrame, sentences: DataFrame, slack: float = 0.02) -> DataFrame:
@@ -176,39 +179,32 @@ def interval_text(moments: DataFrame, sentences: DataFrame, slack: float = 0.02)
     text = F.array_join(
         F.filter(F.transform("_win", lambda x: tx.strip_ws(x["text"])), lambda t: t != ""), " "
     )
-    agg = _joined_sentences(moments, sentences, False, slack).select("project_id", "id", text.alias("interval_text"))
-    return moments.join(agg, ["project_id", "id"], "left")
+    return _with_sentences(moments, sentences, False, slack).withColumn("interval_text", text).drop("_win")
 
 
 def closed_interval_text(moments: DataFrame, sentences: DataFrame) -> DataFrame:
     """As ``interval_text`` but touching sentences belong to the interval."""
     text = tx.strip_ws(F.array_join(F.transform("_win", lambda x: x["text"]), " "))
-    agg = _joined_sentences(moments, sentences, True, 0.0).select("project_id", "id", text.alias("interval_text"))
-    return moments.join(agg, ["project_id", "id"], "left").withColumn(
-        "interval_text", F.coalesce("interval_text", F.lit(""))
-    )
+    return _with_sentences(moments, sentences, True, 0.0).withColumn("interval_text", text).drop("_win")
 
 
 def interval_speaker_metrics(moments: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(project_id, id, metrics) over the closed interval."""
-    agg = _joined_sentences(moments, sentences, True, 0.0)
-    duration = F.element_at("_win", -1)["end"] - F.get("_win", F.lit(0))["start"]
-    return agg.select(
-        "project_id", "id",
-        speaker_metrics(sentence_labels(F.col("_win")), _sum_switches(F.col("_win")), duration).alias("_m"),
+    """Replace the three speaker columns by metrics over the closed interval."""
+    d = _with_sentences(
+        moments.drop("speaker_count", "speaker_switches", "dialogue_score"), sentences, True, 0.0
+    )
+    duration = F.coalesce(
+        F.try_element_at("_win", F.lit(-1))["end"] - F.get("_win", F.lit(0))["start"], F.lit(0.0)
+    )
+    m = speaker_metrics(sentence_labels(F.col("_win")), _sum_switches(F.col("_win")), duration)
+    return d.withColumn("_m", m).select(
+        *[c for c in d.columns if c != "_win"], "_m.speaker_count", "_m.speaker_switches", "_m.dialogue_score"
     )
 
 
 def boost_dialogue(moments: DataFrame, sentences: DataFrame) -> DataFrame:
     """Raise the scores of intervals with a real dialogue, once."""
-    d = moments.drop("speaker_count", "speaker_switches", "dialogue_score").join(
-        interval_speaker_metrics(moments, sentences), ["project_id", "id"], "left"
-    )
-    d = d.withColumns({
-        "speaker_count": F.coalesce("_m.speaker_count", F.lit(0)),
-        "speaker_switches": F.coalesce("_m.speaker_switches", F.lit(0)),
-        "dialogue_score": F.coalesce("_m.dialogue_score", F.lit(0.0)),
-    }).withColumn(
+    d = interval_speaker_metrics(moments, sentences).withColumn(
         "_boosted", (F.col("dialogue_score") > 0) & ~F.col("reason").contains("Dialogue signal")
     )
     boost = F.least(F.lit(6.0), F.col("dialogue_score") * 0.06)
@@ -223,7 +219,7 @@ def boost_dialogue(moments: DataFrame, sentences: DataFrame) -> DataFrame:
         F.col("_boosted"),
         F.concat("reason", F.format_string(" Dialogue signal: %d speakers, %d turns.", "speaker_count", "speaker_switches")),
     ).otherwise(F.col("reason"))
-    return d.withColumns(up).drop("_m", "_boosted")
+    return d.withColumns(up).drop("_boosted")
 
 
 def prompt_windows(sentences: DataFrame, p: SuggestionParams = SuggestionParams()) -> DataFrame:
@@ -259,10 +255,7 @@ def prompt_windows(sentences: DataFrame, p: SuggestionParams = SuggestionParams(
 
 def add_cut_counts(moments: DataFrame, cuts: DataFrame) -> DataFrame:
     """``n_cuts``: shot changes inside the closed interval (cuts: project_id, ts)."""
-    hits = point_join(
-        cuts.select("project_id", "ts"), moments.select("project_id", "id", "start", "end"),
-        "project_id", "ts", "start", "end", width=60.0,
-    ).groupBy("project_id", F.col("r_id").alias("id")).agg(F.count("*").alias("n_cuts"))
-    return moments.join(hits, ["project_id", "id"], "left").withColumn(
-        "n_cuts", F.coalesce("n_cuts", F.lit(0))
+    points = cuts.select("project_id", "ts", F.col("ts").alias("ts_end"))
+    return overlap_aggregate(
+        moments, points, "project_id", ["id"], [F.count("r_ts").alias("n_cuts")], r=("ts", "ts_end"), closed=True
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelspan.functions import text as tx
 from reelspan.operators.scan import running
+from reelspan.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +26,7 @@ def segments(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
         "project_id", "pos", (F.col("_cs") / 100.0).alias("start"), ((F.col("_cs") + F.col("_dur")) / 100.0).alias("end"),
         "text", "speaker", "_cs",
     )
+    d = cut_lineage(d)  # the timeline is read by every branch of every query
     if not words:
         return d.drop("_cs")
     cs, pos = F.col("_cs"), F.col("pos")
@@ -44,10 +46,14 @@ def recording_durations(segs: DataFrame) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return feedback_of(table(spark, sf, "events"))
+
+
+def feedback_of(events: DataFrame) -> DataFrame:
     clip = F.col("event_id") % 40
     kind = F.col("event_type")
     action = F.when(kind == "purchase", "accept").when(kind == "error", "reject").when(kind == "view", "rendered").otherwise("edited")
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), clip.alias("clip_id"),
         F.when(F.col("event_id") % 7 != 0, clip).alias("moment_id"), action.alias("action"),
         F.when(kind == "signup", (1 + F.col("event_id") % 5).cast("int")).alias("user_rating"),
@@ -56,8 +62,12 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def publish_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics_of(table(spark, sf, "events"))
+
+
+def metrics_of(events: DataFrame) -> DataFrame:
     clip, e = F.col("event_id") % 40, F.col("event_id")
-    return table(spark, sf, "events").select(
+    return events.select(
         e.alias("id"), F.col("user_id").alias("project_id"), clip.alias("clip_id"),
         F.when(e % 7 != 0, clip).alias("moment_id"),
         F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (e % 3).cast("int")).alias("platform"),
