@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("events", "text", "moments")
+MODULES = ("events", "text", "moments", "cues", "speakers", "media")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

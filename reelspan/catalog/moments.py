@@ -152,7 +152,7 @@ def stored_clip_speakers(spark, sf):
     iv = segs.select("project_id", F.col("pos").alias("id"), (F.col("start") - 5).alias("start"), (F.col("end") + 5).alias("end"))
     o = overlap_join(iv, segs.select("project_id", "pos", "start", "end", "speaker"), "project_id", closed=True)
     g = o.groupBy("project_id", "id", "start", "end").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r_pos", "r_speaker"))), lambda x: x["r_speaker"]).alias("l"))
+        F.transform(F.sort_array(F.collect_list(F.struct("r_pos", "r_speaker"))), lambda x: x["r_speaker"]).alias("l"))
     m = wn.clip_speaker_metrics(F.col("l"), F.col("end") - F.col("start"))
     return g.select("project_id", "id", m.alias("m")).select("project_id", "id", "m.*")
 

@@ -166,7 +166,7 @@ _STOP = ", ".join(q(w) for w in FIX.stopwords)
  SELECT doc_id, len(t) AS n_terms, md5(array_to_string(list_sort(t), ' ')) AS terms FROM w""")
 def text_terms(spark, sf):
     d = docs(spark, sf).withColumn("t", tx.terms(tx.normalize_clean(F.col("text")), FIX))
-    return d.select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("terms"))
+    return d.select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join(F.sort_array("t"), " ").cast("binary")).alias("terms"))
 
 
 @query(f"""SELECT doc_id, left(sha1(printf('%.1f|%.1f|', doc_id * 10.0::DOUBLE, doc_id * 10.0::DOUBLE + 25) || left({S.collapse('lower(text)')}, 320)), 8) AS fp FROM documents""")

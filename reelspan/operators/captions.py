@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.functions import text as tx
+from reelspan.functions.arrays import unfold
 from reelspan.lexicon import DEFAULT, Lexicon
 from reelspan.operators.intervals import overlap_join
 from reelspan.operators.segment import pseudo_words
@@ -56,7 +57,7 @@ def clip_words(clips: DataFrame, segments: DataFrame) -> DataFrame:
     o = o.withColumn("_words", F.filter(clipped, lambda w: w["end"] - w["start"] >= 0.0))
     g = o.groupBy("project_id", "id").agg(
         F.first("start").alias("start"), F.first("end").alias("end"),
-        F.array_sort(F.flatten(F.collect_list("_words"))).alias("_words"),
+        F.sort_array(F.flatten(F.collect_list("_words"))).alias("_words"),
     )
     word_type = "array<struct<start:double,end:double,seg:bigint,i:int,word:string,probability:double,speaker:string>>"
 
@@ -190,7 +191,7 @@ def caption_cues(clips: DataFrame, segments: DataFrame, max_words: int = 3, lex:
             F.when(nxt.isNotNull(), F.get("_w", nxt["a"])["start"] - lo).otherwise(hi - lo).alias("next_start"),
         )
 
-    d = d.select("project_id", "id", "start", "end", F.explode(F.transform("_spans", cue)).alias("c"))
+    d = unfold(d, F.transform("_spans", cue), "c").select("project_id", "id", "start", "end", "c")
     target = F.greatest(F.lit(0.65), F.length("c.text") / 18.0)
     stretched = F.least(
         F.greatest(F.col("c.end"), F.col("c.start") + target),
@@ -217,7 +218,7 @@ def srt_documents(cues: DataFrame) -> DataFrame:
     block = F.struct(
         "idx", "start", "end", tx.collapse(F.col("text")).alias("text")
     )
-    g = cues.groupBy("project_id", "clip_id").agg(F.array_sort(F.collect_list(block)).alias("_c"))
+    g = cues.groupBy("project_id", "clip_id").agg(F.sort_array(F.collect_list(block)).alias("_c"))
     blocks = F.transform(
         "_c",
         lambda c, i: F.concat(
@@ -231,7 +232,7 @@ def srt_documents(cues: DataFrame) -> DataFrame:
 def caption_quality(clips: DataFrame, cues: DataFrame) -> DataFrame:
     """Cue statistics per clip and ``needs_pass``: whether its captions need a second transcription."""
     item = F.struct("start", "end", "text", "words")
-    g = cues.groupBy("project_id", F.col("clip_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    g = cues.groupBy("project_id", F.col("clip_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("_c"))
     d = clips.select("project_id", "id", "start", "end", "duration").join(g, ["project_id", "id"], "left")
     c = F.coalesce(F.col("_c"), F.array().cast(g.schema["_c"].dataType))
     d = d.withColumn("_c", c)

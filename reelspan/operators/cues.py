@@ -54,7 +54,7 @@ def spoken_words(clips: DataFrame, segments: DataFrame) -> DataFrame:
     heard = F.when(empty, _let(toks, spread).cast(_WORD)).otherwise(timed.cast(_WORD))
     heard = F.when(seg.isNotNull(), heard)
     return overlap_aggregate(
-        clips, segs, "project_id", ["id"], [F.array_sort(F.flatten(F.collect_list(heard))).alias("words")], closed=True
+        clips, segs, "project_id", ["id"], [F.sort_array(F.flatten(F.collect_list(heard))).alias("words")], closed=True
     )
 
 
@@ -182,7 +182,7 @@ def _best_first(cues: Column) -> Column:
     keyed = F.transform(
         cues, lambda c, i: F.struct((-c["score"]).alias("neg"), c["ts"].alias("t"), i.alias("i"), c.alias("c"))
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["c"])
+    return F.transform(F.sort_array(keyed), lambda k: k["c"])
 
 
 def spaced_picks(sorted_cues: Column, min_gap: Column, limit: Column | None = None) -> Column:
@@ -198,7 +198,7 @@ def spaced_picks(sorted_cues: Column, min_gap: Column, limit: Column | None = No
 
 def _by_time(cues: Column) -> Column:
     keyed = F.transform(cues, lambda c, i: F.struct(c["ts"].alias("t"), i.alias("i"), c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda k: k["c"])
+    return F.transform(F.sort_array(keyed), lambda k: k["c"])
 
 
 def _clear_of(c: Column, cuts: Column, guard: float) -> Column:
@@ -226,7 +226,7 @@ def with_inner_cuts(clips: DataFrame) -> DataFrame:
     """Sort ``cuts`` and keep those inside (0.08, span - 0.4); adds ``span``."""
     d = clips.withColumn("span", F.greatest(F.lit(1.0), F.col("end") - F.col("start")))
     span = F.col("span")
-    return d.withColumn("cuts", F.array_sort(F.filter("cuts", lambda t: (t > 0.08) & (t < span - 0.4))))
+    return d.withColumn("cuts", F.sort_array(F.filter("cuts", lambda t: (t > 0.08) & (t < span - 0.4))))
 
 
 def with_shot_motion(clips: DataFrame) -> DataFrame:

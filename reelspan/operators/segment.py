@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.functions import text as tx
+from reelspan.functions.arrays import unfold
 from reelspan.operators.scan import running
 
 
@@ -30,10 +31,8 @@ def count_switches(labels: Column) -> Column:
 
 def split_plain_text(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per sentence: ``sentence_pos`` (0-based) and ``sentence``."""
-    return df.select(
-        *[c for c in df.columns if c != text],
-        F.posexplode(tx.split_sentences(F.col(text))).alias("sentence_pos", "sentence"),
-    )
+    parts = df.withColumn("_parts", tx.split_sentences(F.col(text))).drop(text)
+    return unfold(parts, "_parts", "sentence", pos="sentence_pos").drop("_parts")
 
 
 def segment_sentences(segments: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def segment_sentences(segments: DataFrame) -> DataFrame:
     span = (F.col("end") - F.col("start")) / F.size("_parts")
     single = F.size("_parts") == 1
     if not has_words:
-        d = d.select("*", F.posexplode("_parts").alias("_i", "sentence"))
+        d = unfold(d, "_parts", "sentence", pos="_i")
         labels = F.when(
             F.col("speaker").isNotNull() & (F.col("speaker") != ""), F.array("speaker")
         ).otherwise(F.array().cast("array<string>"))
@@ -69,7 +68,7 @@ def segment_sentences(segments: DataFrame) -> DataFrame:
         lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
         lambda acc: acc["out"],
     )
-    d = d.withColumn("_cursors", cursors).select("*", F.posexplode("_parts").alias("_i", "sentence"))
+    d = unfold(d.withColumn("_cursors", cursors), "_parts", "sentence", pos="_i")
     taken = F.slice("words", F.get("_cursors", F.col("_i")) + 1, tx.n_words(F.col("sentence")))
     d = d.withColumn("_words", F.when(single, F.col("words")).otherwise(taken))
     d = d.withColumn("_labels", speaker_labels(F.col("_words"), F.col("speaker")))

@@ -117,7 +117,7 @@ def nearest_speaker(items: DataFrame, cents: DataFrame) -> DataFrame:
     A recording has at most ``max_speakers`` centroids, kept as one small array."""
     per = cents.groupBy("project_id").agg(F.collect_list(F.struct("speaker", "centroid")).alias("_c"))
     d = items.join(per, "project_id", "left").withColumn("_u", unit(F.col("embedding")))
-    ranked = F.array_sort(F.transform(
+    ranked = F.sort_array(F.transform(
         "_c", lambda c: F.struct(distance(F.col("_u"), c["centroid"]).alias("d"), c["speaker"].alias("s"))
     ))
     d = d.withColumn("_r", ranked)
@@ -199,7 +199,7 @@ def inherit_transcript(local: DataFrame, reference: DataFrame) -> DataFrame:
     s = inherit_speakers(segs, reference).select("project_id", F.col("id").alias("sid"), F.col("speaker").alias("_seg_speaker"))
     w = inherit_speakers(words, reference).join(s, ["project_id", "sid"], "left")
     labelled = w.withColumn("w", F.col("w").withField("speaker", F.coalesce("speaker", "_seg_speaker")))
-    packed = labelled.groupBy("project_id", "sid").agg(F.array_sort(F.collect_list(F.struct("wi", "w"))).alias("_w"))
+    packed = labelled.groupBy("project_id", "sid").agg(F.sort_array(F.collect_list(F.struct("wi", "w"))).alias("_w"))
     d = local.withColumn("sid", seg_id).join(s, ["project_id", "sid"], "left").join(packed, ["project_id", "sid"], "left")
     return d.withColumns({
         "speaker": F.col("_seg_speaker"), "words": F.coalesce(F.transform("_w", lambda x: x["w"]), F.col("words")),
@@ -235,7 +235,7 @@ def labels_ready(transcripts: DataFrame) -> Column:
 def speaker_summary(counts: DataFrame, coverage: DataFrame) -> DataFrame:
     """'speakers=S1:80, S2:40; coverage=90%' per recording (one entry per voice)."""
     entry = F.struct("speaker", F.concat_ws(":", "speaker", "n").alias("t"))
-    g = counts.groupBy("project_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    g = counts.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     d = coverage.join(g, "project_id", "left")
     text = F.concat(
         F.lit("speakers="), F.array_join(F.transform("_e", lambda e: e["t"]), ", "),

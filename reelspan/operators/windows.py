@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelspan.functions import scoring as sc, text as tx
+from reelspan.functions.arrays import unfold
 from reelspan.lexicon import DEFAULT, Lexicon
 from reelspan.operators.chain import greedy_spacing
 from reelspan.operators.intervals import overlap_aggregate, point_join
@@ -91,7 +92,7 @@ def candidate_windows(sentences: DataFrame, p: ClipParams = ClipParams(), chunk_
     anchor_pos = F.col("pos")
     d = d.select(
         "project_id", F.col("pos").alias("anchor_pos"), F.col("start").alias("_s0"),
-        F.array_sort(F.filter("_ahead", lambda x: x["pos"] >= anchor_pos)).alias("_ahead"),
+        F.sort_array(F.filter("_ahead", lambda x: x["pos"] >= anchor_pos)).alias("_ahead"),
     )
     s0 = F.col("_s0")
 
@@ -109,7 +110,7 @@ def candidate_windows(sentences: DataFrame, p: ClipParams = ClipParams(), chunk_
     long_enough = F.filter(
         F.array_distinct(lasts), lambda j: F.get("_ahead", j)["end"] - s0 >= p.min_duration_sec * 0.85
     )
-    d = d.select("*", F.explode(long_enough).alias("_last"))
+    d = unfold(d, long_enough, "_last")
     win = F.slice("_ahead", F.lit(1), F.col("_last") + 1)
     d = d.withColumn("_win", win)
     d = d.withColumn("_end", F.element_at("_win", -1)["end"])
@@ -170,7 +171,7 @@ def _with_sentences(moments: DataFrame, sentences: DataFrame, closed: bool, slac
     """Add ``_win``: the overlapped sentences in order."""
     item = F.struct("pos", "start", "end", "text", "speaker", "speakers", "speaker_switches").alias("item")
     s = sentences.select("project_id", "start", "end", item)
-    win = F.array_sort(F.collect_list("r_item")).alias("_win")
+    win = F.sort_array(F.collect_list("r_item")).alias("_win")
     return overlap_aggregate(moments, s, "project_id", ["id"], [win], closed=closed, slack=slack)
 
 
@@ -249,7 +250,7 @@ def prompt_windows(sentences: DataFrame, p: SuggestionParams = SuggestionParams(
     ).where(F.col("pos") >= F.col("r_window_pos"))
     return joined.groupBy("project_id", F.col("r_window_pos").alias("window_pos")).agg(
         F.first("r_window_start").alias("window_start"), F.count("*").alias("n_sentences"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x["line"]), "\n").alias("transcript"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("_line")), lambda x: x["line"]), "\n").alias("transcript"),
     )
 
 
