@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("events", "text", "moments", "cues", "speakers", "media")
+MODULES = ("events", "text", "moments", "cues", "speakers", "media", "learning", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

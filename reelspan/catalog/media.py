@@ -79,7 +79,7 @@ def _renders(spark, sf):
 
 @query("""WITH p AS (SELECT event_id AS id, CAST(round(value, 2) AS DECIMAL(12,2)) AS d FROM events),
  x AS (SELECT id, d, CAST(d AS DOUBLE) + 1.0::DOUBLE AS ex, id % 10 <> 3 AS hv, id % 8 <> 5 AS ha, greatest(0, d + 1 - id % 4) AS dv, CASE WHEN id % 9 = 0 THEN 720 ELSE 1080 END AS w,
-   floor((d + 1) * 30) - id % 40 AS fr, greatest(0, d + 1 + id % 3 - 1) AS da FROM p)
+   floor((CAST(d AS DOUBLE) + 1) * 30) - id % 40 AS fr, greatest(0, d + 1 + id % 3 - 1) AS da FROM p)
  SELECT id, (hv AND w = 1080 AND dv >= ex - 0.22 AND NOT (fr <> 0 AND fr < trunc((ex - 0.22::DOUBLE) * 30)) AND ha AND NOT ((da > 0 AND da < ex - 0.22) OR da > ex + 0.65)) AS ok,
   array_to_string(list_filter([CASE WHEN NOT hv THEN 'video' END, CASE WHEN hv AND w <> 1080 THEN 'canvas' END, CASE WHEN hv AND dv < ex - 0.22 THEN 'short' END,
    CASE WHEN hv AND fr <> 0 AND fr < trunc((ex - 0.22::DOUBLE) * 30) THEN 'frames' END, CASE WHEN NOT ha THEN 'audio' END,

@@ -14,8 +14,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
+    return segments_of(table(spark, sf, "conversations"), words)
+
+
+def segments_of(conversations: DataFrame, words: bool = False) -> DataFrame:
     """Conversations as timed recordings: 0.4 s per word, pauses of 0-4 s."""
-    d = table(spark, sf, "conversations").select(
+    d = conversations.select(
         F.col("conv_id").alias("project_id"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), "text"
     )
     dur = 40 * tx.n_words(F.col("text"))

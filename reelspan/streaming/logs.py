@@ -15,6 +15,7 @@ def read_log(spark: SparkSession, path: str, schema, max_files: int | None = Non
 
 def exactly_once(log: DataFrame, time: str, delay: str = "1 day", key: str = "id") -> DataFrame:
     """Drop repeated event ids; state is kept only as long as the watermark requires."""
+    log = log.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zoned timestamp
     return log.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
