@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf):
-    return ad.table(spark, sf, "documents").select("doc_id", "text")
+    return ad.texts(spark, sf, "documents").select("doc_id", "text")
 
 
 # One wrong decoding of every document (UTF-8 bytes read as Latin-1) must be undone exactly

@@ -8,6 +8,7 @@ from reelspan.functions import text as tx
 from reelspan.lexicon import DEFAULT, Lexicon
 from reelspan.operators import events as ev
 from reelspan.operators.features import with_features
+from reelspan.session import cut_lineage
 
 MOMENT_TEXTS = ("text", "summary", "hook_text", "payoff_text", "suggested_title", "suggested_caption")
 
@@ -92,7 +93,7 @@ def backfill_snapshots(feedback: DataFrame, moments: DataFrame, lex: Lexicon = D
     """
     own = feature_snapshots(moments, lex).select(F.col("moment_id"), F.col("snapshot").alias("_own"))
     d = feedback.join(own, "moment_id", "left").withColumn("features_json", F.coalesce("features_json", "_own")).drop("_own")
-    when = F.struct("created_at", "id")
+    d = cut_lineage(d)  # read three times; the snapshots must not be computed three times
     donors = d.where(F.col("features_json").isNotNull())
 
     def newest(key: str, out: str) -> DataFrame:

@@ -13,8 +13,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts. One unsplittable row group would put all text rules into one
+    task; where a scan has fewer splits than the cluster has cores, rows are dealt out first."""
+    d = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def segments(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
-    return segments_of(table(spark, sf, "conversations"), words)
+    return segments_of(texts(spark, sf, "conversations"), words)
 
 
 def segments_of(conversations: DataFrame, words: bool = False) -> DataFrame:
@@ -85,7 +93,7 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as stored moments: deterministic scores, real text."""
     kinds = [F.lit(x) for x in ("insight", "controversial_take", "how_to", "personal_story", "result")]
     i = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         i.alias("id"), F.col("source").alias("project_id"), (i * 10.0).alias("start"), (i * 10.0 + 20 + i % 9).alias("end"),
         (20.0 + i % 9).alias("duration"), "text", F.left("text", F.lit(60)).alias("summary"),
         F.left("text", F.lit(20)).alias("hook_text"), F.get(F.array(*kinds), (i % 5).cast("int")).alias("moment_type"),
