@@ -38,8 +38,8 @@ def _events(spark, sf):
 
 def _run(spark, stream, keys):
     base = _workspace(spark)
-    logs.upsert_table(stream, keys, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return logs.current_table(spark, f"{base}/table")
+    logs.upsert_table(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return logs.current_table(spark, f"{base}/table", keys)
 
 
 @query(f"WITH {LATEST} SELECT project_id, candidate_key, id, action, user_rating FROM latest")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelspan.operators import events as ev
+from reelspan.operators.ranking import latest_per_key
 
 
 def read_log(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -43,38 +44,31 @@ def latest_captures(metrics: DataFrame) -> DataFrame:
     ).select("project_id", "candidate_key", "platform", "publication", "c.*")
 
 
-def upsert_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep ``path`` equal to the stream's latest row per key.
+def upsert_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the changed keys of every micro-batch below ``path``.
 
-    Each micro-batch writes one immutable version directory named after its
-    batch id, so a replayed batch rewrites the same version and readers switch
-    atomically. Checkpoint and path belong on shared storage.
+    In update mode a batch holds only keys that changed, so the cost of a batch
+    follows its changes, not the size of the table. Each batch owns the folder
+    ``batch=<id>``; a replay overwrites the same folder. ``current_table`` reads
+    the newest row per key, ``compact_table`` folds the history into one copy.
+    Path and checkpoint belong on shared storage.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = current_table(spark, path, below=batch_id)
-        merged = batch if before is None else batch.unionByName(before.join(batch.select(*keys), keys, "left_anti"))
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     w = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def current_table(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """Newest complete version written by ``upsert_table``."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = sorted(
-        n for n in names
-        if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-        and (below is None or int(n[8:]) < below)
-    )
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+def current_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Newest row per key over all batches."""
+    return latest_per_key(spark.read.parquet(path), [F.col(k) for k in keys], [F.desc("batch")]).drop("batch")
+
+
+def compact_table(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
+    """Write the current rows to ``target`` as batch -1, below any later batch copied there."""
+    current_table(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def analyze_arrivals(transcripts: DataFrame, analyse, checkpoint: str) -> StreamingQuery:
