@@ -28,7 +28,6 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         # text scoring is CPU-bound on small inputs: let AQE keep small partitions apart
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.log.level", "ERROR").getOrCreate()
     )
 

@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table of long texts. One unsplittable row group would put all text rules into one
-    task; where a scan has fewer splits than the cluster has cores, rows are dealt out first."""
+    task; where a scan has few splits for the cluster's cores, rows are dealt out first."""
     d = table(spark, sf, name)
     cores = spark.sparkContext.defaultParallelism
-    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+    return d.repartition(cores) if d.rdd.getNumPartitions() < 2 * cores else d
 
 
 def segments(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:
