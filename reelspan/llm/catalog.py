@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import exact
+from reelspan.llm import bpe, exact
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def vocabulary(name: str) -> str:
+    """A public vocabulary file; every worker has the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def query(sql: str | None = None):
     def wrap(fn):
         QUERIES[fn.__name__] = fn
@@ -25,3 +38,12 @@ def query(sql: str | None = None):
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the row that stays for its text. The digest of every text is asked for, so all are taken."""
     return exact.exact_groups(table(spark, sf, "documents"), digest="every").drop("_k1", "_k2")
+
+
+@query()
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again; digests are taken of the operator's own ids and bytes."""
+    path, pattern = vocabulary("byte_bpe_50k.tiktoken"), word_pattern()
+    d = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, pattern)
+    d = d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(d, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
