@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, exact
+from reelspan.llm import bpe, exact, simhash
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -47,3 +47,10 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     d = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, pattern)
     d = d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
     return bpe.decode(d, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id its links reach."""
+    g = simhash.near_groups(table(spark, sf, "documents"))
+    return g.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
