@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, simhash
+from reelspan.llm import bpe, chat, exact, minhash, simhash
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +73,9 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     hostile = spark.createDataFrame([(-7, 0, "user", _HOSTILE), (-7, 1, "assistant", _HOSTILE)], turns.schema)
     messages = chat.fold_messages(chat.event_log(turns.union(hostile)))
     return chat.digests(chat.read_back(chat.render(messages)))
+
+
+@query()
+def op4_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
+    return minhash.neighbour_likeness(table(spark, sf, "documents"))
