@@ -20,7 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-#: Entries of a task's caches of pieces and of token pairs; a full cache is emptied. Longer pieces are not kept.
+#: Entries of a task's caches of pieces and of token pairs. A full cache becomes the old one, from which what is asked
+#: for again moves to the new one, so frequent pieces stay. Longer pieces are not kept.
 CACHE, CACHED_PIECE = 250_000, 48
 #: White space as the rank files' libraries understand it; Python's own \s also takes four control characters.
 _SPACE, _NOT_SPACE = r"\p{White_Space}", r"\P{White_Space}"
@@ -43,8 +44,10 @@ class ByteBPE:
         self.ranks, self.split = ranks, splitter(pattern)
         self.token = {r: t for t, r in ranks.items()}
         self.size = {r: len(t) for t, r in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         last: dict[int, tuple[int, int]] = {}
         for t, r in ranks.items():
@@ -81,33 +84,34 @@ class ByteBPE:
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge crosses from ``a`` to ``b``: two tokens that meet at their edges merge if that comes before
         what ends the left one, and before or along with what ends the right one (the leftmost of equals goes first)."""
-        got = self.pairs.get((a, b))
+        key = a << 32 | b
+        got = self.pairs.get(key)
         if got is None:
+            got = self.old_pairs.get(key)
+            if got is None:
+                joined, none = self.joined, 1 << 61
+                got = not any(
+                    (m := joined.get((x, y), none)) < ends_x and m <= ends_y
+                    for x, ends_x in self.right_edge[a] for y, ends_y in self.left_edge[b])
             if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            joined, none = self.joined, 1 << 61
-            got = self.pairs[a, b] = not any(
-                (m := joined.get((x, y), none)) < ends_x and m <= ends_y
-                for x, ends_x in self.right_edge[a] for y, ends_y in self.left_edge[b])
+                self.old_pairs, self.pairs = self.pairs, {}
+            self.pairs[key] = got
         return got
 
     def backtrack(self, piece: bytes) -> list[int]:
-        longest: list[int] = [-1] * len(piece)
-        size, shorter = self.size, self.shorter
-        for end, r in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - size[r]
-            if longest[start] < 0 or size[longest[start]] < size[r]:
-                longest[start] = r
+        size, shorter, letters = self.size, self.shorter, piece.decode("latin-1")
+        matches = self.automaton.iter_long  # every byte is a token, so the first match from a place on starts there
+
         open_ = bytearray(b"\1") * (len(piece) + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, next(matches(letters))[1]
         while at < len(piece):
             while token >= 0 and not (open_[at + size[token]] and (not out or self.compatible(out[-1], token))):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = longest[at] if at < len(piece) else -1
+                token = next(matches(letters, at))[1] if at < len(piece) else -1
             else:  # nothing fits here: this position is closed, the token before gives way
                 open_[at] = 0
                 token = out.pop()
@@ -121,21 +125,19 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        cache, out = self.pieces, []
+        new, old, out = self.pieces, self.old_pieces, []
         for p in self.split.findall(text):
-            ids = cache.get(p)
+            ids = new.get(p)
             if ids is None:
-                ids = self.encode_piece(p)
+                ids = old.get(p) or self.encode_piece(p)
                 if len(p) <= CACHED_PIECE:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[p] = ids
+                    if len(new) >= CACHE:
+                        self.old_pieces = old = new
+                        self.pieces = new = {}
+                    new[p] = ids
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 @lru_cache(2)
 def coder(path: str, pattern: str) -> ByteBPE:
@@ -143,6 +145,11 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
+@lru_cache(2)
+def bytes_of_tokens(path: str) -> dict[int, bytes]:
+    return {r: t for t, r in read_ranks(path).items()}
+
+
 def _schema(df: DataFrame, drop: str | None, *more: tuple[str, T.DataType]) -> tuple[T.StructType, list[str]]:
     fields = [f for f in df.schema.fields if f.name not in {drop, *(n for n, _ in more)}]
     return T.StructType([*fields, *(T.StructField(n, t) for n, t in more)]), [f.name for f in fields]
@@ -167,16 +174,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of ``ids`` (null: none) in the binary column ``into``, in place of ``ids``."""
     schema, kept = _schema(encoded, ids, (into, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
+        token = bytes_of_tokens(path).__getitem__
         for b in batches:
             col = b.column(ids)
             for lo in range(0, max(1, len(col)), 256):  # Python lists of a few documents at a time
-                part = [c.decode(x or ()) for x in col.slice(lo, 256).to_pylist()]
+                part = [b"".join(map(token, x or ())) for x in col.slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, 256) for k in kept), pa.array(part, pa.binary())], names=[*kept, into])
 
     return encoded.mapInArrow(run, schema)

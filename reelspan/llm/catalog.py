@@ -46,7 +46,7 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), word_pattern()
     d = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, pattern)
     d = d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(d, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(d, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query()
