@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, minhash, simhash
+from reelspan.llm import bpe, chat, exact, minhash, simhash, token_files
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -79,3 +79,11 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 def op4_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
     return minhash.neighbour_likeness(table(spark, sf, "documents"))
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as bit planes in doc_id order and read back."""
+    folder = token_files.write(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), 2)
+    d = token_files.read(spark, folder)
+    return d.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
