@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, minhash, simhash, token_files
+from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, token_files
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -87,3 +87,10 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = token_files.write(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), 2)
     d = token_files.read(spark, folder)
     return d.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its source's target and the words the mix takes of it."""
+    d = mixing.mixed_sizes(table(spark, sf, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
