@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, token_files
+from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -94,3 +94,10 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes of it."""
     d = mixing.mixed_sizes(table(spark, sf, "documents"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's score from its nearest labelled examples, with their ids as evidence."""
+    d = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted", "evidence", "nearest")
