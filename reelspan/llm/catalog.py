@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, token_files, toxicity
+from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, suffix_tree, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -101,3 +101,10 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's score from its nearest labelled examples, with their ids as evidence."""
     d = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return d.select("doc_id", "held_out", "score", "predicted", "evidence", "nearest")
+
+
+@query()
+def op5_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log10 probability under the suffix tree and under the unigram base."""
+    d = suffix_tree.score(table(spark, sf, "documents"))
+    return d.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
