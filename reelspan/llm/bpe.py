@@ -17,6 +17,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
@@ -100,22 +101,28 @@ class ByteBPE:
 
     def backtrack(self, piece: bytes) -> list[int]:
         size, shorter, letters = self.size, self.shorter, piece.decode("latin-1")
-        matches = self.automaton.iter_long  # every byte is a token, so the first match from a place on starts there
-
+        # every byte is a token, so the first match from a place on starts there; most pieces go the way of one scan
+        matches, pairs, joined_up = self.automaton.iter_long, self.pairs.get, self.compatible
+        longest = {end + 1 - size[r]: r for end, r in matches(letters)}
         open_ = bytearray(b"\1") * (len(piece) + 1)
         out: list[int] = []
-        at, token = 0, next(matches(letters))[1]
+        at, token, before = 0, longest[0], -1
         while at < len(piece):
-            while token >= 0 and not (open_[at + size[token]] and (not out or self.compatible(out[-1], token))):
+            while token >= 0 and not (open_[at + size[token]] and (before < 0 or pairs(before << 32 | token) or joined_up(before, token))):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = next(matches(letters, at))[1] if at < len(piece) else -1
+                before, token = token, -1
+                if at < len(piece):
+                    token = longest.get(at, -1)
+                    if token < 0:
+                        token = longest[at] = next(matches(letters, at))[1]
             else:  # nothing fits here: this position is closed, the token before gives way
                 open_[at] = 0
                 token = out.pop()
                 at -= size[token]
+                before = out[-1] if out else -1
         return out
 
     def encode_piece(self, piece: str) -> bytes:
@@ -146,8 +153,12 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 @lru_cache(2)
-def bytes_of_tokens(path: str) -> dict[int, bytes]:
-    return {r: t for t, r in read_ranks(path).items()}
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per id where its bytes begin and how many they are, and the bytes of all tokens."""
+    token = {r: t for t, r in read_ranks(path).items()}
+    parts = [token.get(r, b"") for r in range(max(token) + 1)]
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(parts), np.uint8)
 
 
 def _schema(df: DataFrame, drop: str | None, *more: tuple[str, T.DataType]) -> tuple[T.StructType, list[str]]:
@@ -179,11 +190,19 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     schema, kept = _schema(encoded, ids, (into, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = bytes_of_tokens(path).__getitem__
+        first, size, every = byte_table(path)
         for b in batches:
-            col = b.column(ids)
-            for lo in range(0, max(1, len(col)), 256):  # Python lists of a few documents at a time
-                part = [b"".join(map(token, x or ())) for x in col.slice(lo, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, 256) for k in kept), pa.array(part, pa.binary())], names=[*kept, into])
+            for lo in range(0, max(1, b.num_rows), 64):  # a few documents at a time
+                part = b.slice(lo, 64)
+                col = part.column(ids)
+                flat = col.flatten().to_numpy(zero_copy_only=False)
+                width = size[flat]
+                ends = np.concatenate([[0], np.cumsum(width)])
+                place = np.arange(ends[-1]) + np.repeat(first[flat] - ends[:-1], width)
+                docs = ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])]
+                if docs[-1] >= 1 << 31:
+                    raise ValueError("documents of over 2 GB together")
+                text = pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(docs.astype("<i4").tobytes()), pa.py_buffer(every[place].tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), text], names=[*kept, into])
 
     return encoded.mapInArrow(run, schema)

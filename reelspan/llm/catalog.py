@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, minhash, mixing, simhash, suffix_tree, token_files, toxicity
+from reelspan.llm import bpe, chat, exact, licenses, minhash, mixing, simhash, suffix_tree, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -108,3 +108,19 @@ def op5_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's log10 probability under the suffix tree and under the unigram base."""
     d = suffix_tree.score(table(spark, sf, "documents"))
     return d.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: 16 to a directory, 16 directories to a parent, below their source. The first of a
+    directory is its licence file, the second of the first directory that of the parent."""
+    i = F.col("doc_id")
+    parent, name = F.floor(i / 256).cast("string"), F.concat(i.cast("string"), F.lit(".txt"))
+    deep = F.concat_ws("/", "source", parent, F.floor(i / 16).cast("string"), F.when(i % 16 == 0, "LICENSE").otherwise(name))
+    return docs.select("doc_id", F.when(i % 256 == 1, F.concat_ws("/", "source", parent, F.lit("LICENSE"))).otherwise(deep).alias("path"), "text")
+
+
+@query(licenses.oracle("""SELECT doc_id, text, CASE WHEN doc_id % 256 = 1 THEN concat_ws('/', source, doc_id // 256, 'LICENSE')
+ ELSE concat_ws('/', source, doc_id // 256, doc_id // 16, CASE WHEN doc_id % 16 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) END AS path FROM documents"""))
+def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, as a file of a tree, with its own or inherited license."""
+    return licenses.scan(as_files(table(spark, sf, "documents")))
