@@ -60,13 +60,14 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     they are. Of rows that share a key marked ``single`` the first by their other columns stands for all.
     """
     k1, k2 = row_keys()
-    cols = docs.columns
-    d = docs.withColumns({"_k1": k1, "_k2": k2}).join(decisions, ["_k1", "_k2"], "left")
+    # the row travels as one value, so that its columns may have any names
+    d = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = d.join(decisions, ["_k1", "_k2"], "left")
     single = F.coalesce(F.col("single"), F.lit(False))
     alive = F.coalesce(F.col("copies"), F.lit(1)) > 0
-    order = [F.col(c) for c in cols if c not in ("doc_id", "text") and not dict(docs.dtypes)[c].startswith(("map", "variant"))]
+    order = [F.col(f"row.`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]
     w = W.partitionBy("_k1", "_k2").orderBy(*order or [F.lit(0)])
     one = d.where(alive & single).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     out = d.where(alive & ~single).unionByName(one)
-    out = out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)))))
-    return out.select(*cols)
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)))).alias("_i"))
+    return out.select("row.*")

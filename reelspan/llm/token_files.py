@@ -10,7 +10,9 @@ place of a document in the whole is the sum of what the index says before it.
 
 from __future__ import annotations
 
+import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,23 +37,24 @@ class WordEncoder:
     tokenizer's own steps (NFC, lower case, splitting, merges) never look across it."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        new, old = self.new, self.old
-        unknown = [w for w in set(words).difference(new) if w not in old]
-        coded = dict(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(unknown, add_special_tokens=False))))
-        out = []
-        for w in words:
-            b = new.get(w)
-            if b is None:
-                b = coded.get(w)
-                new[w] = b = old[w] if b is None else b
-            out.append(b)
-        if len(new) > CACHE:
-            self.old, self.new = new, {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        out = list(map(self.new.get, words))
+        missing = [i for i, b in enumerate(out) if b is None]
+        if missing:
+            fresh = {w: self.old.get(w) for w in {words[i] for i in missing}}
+            unknown = [w for w, b in fresh.items() if b is None]
+            coded = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in unknown], add_special_tokens=False)
+            fresh.update((w, array("I", e.ids).tobytes()) for w, e in zip(unknown, coded))
+            for i in missing:
+                out[i] = fresh[words[i]]
+            if len(self.new) + len(fresh) > CACHE:
+                self.old, self.new = self.new, {}
+            self.new.update(fresh)
         return out
 
 
@@ -60,14 +63,6 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def split_words(text: str) -> list[str]:
-    """What the six ASCII white-space characters separate."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-
-
-_TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
-
-
 def encode_ids(docs: DataFrame, path: str, end_id: int, at_once: int = 64) -> DataFrame:
     """(doc_id, n_ids, ids): ids as little-endian 32-bit integers, the end id last. Null texts have the end id only."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -78,7 +73,8 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, at_once: int = 64) -> Da
         for b in batches:
             for lo in range(0, b.num_rows, at_once):
                 part = b.slice(lo, at_once)
-                words = [split_words(t) for t in part.column("text").to_pylist()]
+                # bytes split at the six ASCII white-space characters
+                words = [t.encode("utf-8", "surrogatepass").split() for t in part.column("text").to_pylist()]
                 flat = enc.ids([w for ws in words for w in ws])
                 ids, at = [], 0
                 for ws in words:

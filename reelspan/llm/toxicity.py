@@ -28,6 +28,8 @@ EXAMPLES, FEATURES, NEIGHBOURS, EVIDENCE = 20_000, 4096, 15, 5
 #: A feature is in at least so many examples, and its chi-square (one degree of freedom) is so large.
 LEAST_EXAMPLES, LEAST_CHI2 = 4, 20.0
 BLOCK, NEARNESS, PRIOR_WEIGHT = 256, 0.05, 0.5
+#: A text that shows nothing is not called toxic, whatever share of the examples is.
+MOST_WITHOUT = 0.49
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (4, 5)
 
@@ -202,8 +204,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     score is a function of the text alone; evidence lists the nearest examples' ids, nearest the first one's cosine.
     Learns from at most ``examples`` rows of ``labels`` (doc_id, ``label``) that are not held out, in the order of a
     hash of doc_id. Null labels and null ids teach nothing; an id labelled twice counts by its larger label. Texts
-    without a feature (also null and empty ones) get the share of label 1 among such examples. Without labels of both
-    kinds all scores are the share of label 1, 0 without labels. An empty table gives none.
+    without a feature (also null and empty ones) get the share of label 1 among such examples, below 0.5. Without labels of both
+    kinds all scores are that share, 0 without labels. An empty table gives none.
     """
     spark = docs.sparkSession
     taught = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -233,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     known = known.select("doc_id", "label", "v.f", "v.n").collect()  # the examples, bounded
     none = [r.label for r in known if not r.f]
     mean = sum(r.label for r in known) / len(known) if known else 0.0
-    model = Model(vocabulary, np.log((1 + total) / (1 + df)), BlockMaxIndex([], np.zeros(0)), (sum(none) + mean) / (len(none) + 1))
+    model = Model(vocabulary, np.log((1 + total) / (1 + df)), BlockMaxIndex([], np.zeros(0)), min((sum(none) + mean) / (len(none) + 1), MOST_WITHOUT))
     said = [r for r in known if r.f]
     model.index = BlockMaxIndex.build([r.doc_id for r in said], [r.label for r in said], [model.vector(r.f, r.n) for r in said])
     _calibrate(spark, model, said)
