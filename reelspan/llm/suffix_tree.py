@@ -221,7 +221,7 @@ def _grow(level: int):
         keys = [np.frombuffer(r["keys"], _U) for r in rows]
         kinds, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
-        ln_p = -np.concatenate([_unpack(r["tenths"], "<u1") for r in rows])[first] / _TENTHS
+        ln_p = np.concatenate([_unpack(r["tenths"], "<u1") for r in rows])[first] / -_TENTHS
         kept, own, shorter = kept_contexts(kinds >> _U(32), n, ln_p)
         out, at = [], 0
         for r, k in zip(rows, keys):
