@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
@@ -43,6 +44,12 @@ def drop_staged(spark: SparkSession) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, after which Spark removes the shuffle files of jobs that nobody refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_order(doc_id: str = "doc_id") -> Column:
     """doc_id for ordering and keys: null counts as the largest."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))

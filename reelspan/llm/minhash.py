@@ -50,12 +50,12 @@ def _powers(n: int, base: np.uint64, _kept: dict = {}) -> np.ndarray:  # noqa: B
     return _kept[base][:n]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order."""
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text, in order, and the byte it starts at."""
     b = np.frombuffer(text, np.uint8)
     inside = ~_SPACE[b]
     if not inside.any():
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     # a polynomial in the byte's place within its word, and the word's length
@@ -63,7 +63,11 @@ def word_hashes(text: bytes) -> np.ndarray:
     size = end - start
     place = at - np.repeat(start, size)
     terms = (b[at].astype(_U) + _U(1)) * _powers(int(size.max()), _BASE)[place]
-    return _mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(_U) * _STEP)
+    return _mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(_U) * _STEP), start
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_at(text)[0]
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:

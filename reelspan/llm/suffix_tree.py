@@ -24,12 +24,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reelspan.llm.common import stage
-from reelspan.llm.minhash import _mix, word_hashes
+from reelspan.llm.common import release, stage
+from reelspan.llm.minhash import _mix, words_at
 from reelspan.session import ensure_checkpoint_dir
 
-#: Longest context, nats a context must gain, discount of its counts, tokens of a chunk, chunks' worth of pairs in a group.
-DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP = 3, 2.0, 0.75, 1 << 21, 2
+#: Longest context, nats a context must gain, discount of its counts, tokens of a chunk, chunks (of six bytes a token) to
+#: a group.
+DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP = 2, 2.0, 0.75, 1 << 21, 2
 _U = np.uint64
 END, BEGIN, _STEP = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179), _U(0xC2B2AE3D27D4EB4F)
 #: ln p is sent in tenths for the divergence test only; scores use it in full.
@@ -52,6 +53,24 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 _CHUNK_SCHEMA = "chunk long, doc_ids array<long>, sizes array<int>, train array<boolean>, words binary, tokens binary"
 
 
+def _tokens(column: pa.Array, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Each text's word hashes and END; hashed about a megabyte at a time."""
+    held, size = [], 0
+
+    def cut():
+        hashes, start = words_at(b"\n".join(held))
+        ends = np.searchsorted(start, np.cumsum([len(h) + 1 for h in held]))
+        return np.split(np.insert(hashes, ends, END), ends[:-1] + np.arange(1, len(held))) if held else []
+
+    for text in column:
+        held.append((text.as_py() or "").encode("utf-8", "surrogatepass").lower())
+        size += len(held[-1])
+        if size >= at_once:
+            yield from cut()
+            held, size = [], 0
+    yield from cut()
+
+
 def _to_chunks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
@@ -68,11 +87,11 @@ def _to_chunks(most: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["chunk", "doc_ids", "sizes", "train", "words", "tokens"])
 
         for b in batches:
-            for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text")):
-                held.append(np.append(word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass").lower()), END))
+            for d, t, tokens in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), _tokens(b.column("text"))):
+                held.append(tokens)
                 docs.append(d)
                 train.append(t)
-                n += len(held[-1])
+                n += len(tokens)
                 if n >= most:
                     yield row()
                     number, docs, train, held, n = number + 1, [], [], [], 0
@@ -106,7 +125,7 @@ class Chunk:
         self.train = np.repeat(np.array(row["train"], bool), self.sizes)
         self.number = row["chunk"]
         # root
-        order, cuts = split(self.words, groups)
+        order, cuts = split(self.words, self.words, groups)
         self.count = np.zeros(len(self.words), np.int64)
         for g in range(groups):
             if (0, g) in answers:
@@ -121,20 +140,21 @@ class Chunk:
             pairs = self.pairs(level)
             if pairs is None:
                 break
-            order, cuts, inverse = pairs[2], pairs[3], pairs[4]
+            _, _, order, cuts, inverse = pairs
             a, b = np.zeros(len(order)), np.full(len(order), -1.0)
             for g in range(groups):
                 if (level, g) in answers:
-                    pos, x, y = answers[level, g]
-                    where = order[cuts[g]:cuts[g + 1]][np.frombuffer(pos, "<u4")]
-                    a[where], b[where] = np.frombuffer(x, "<f4"), np.frombuffer(y, "<f4")
+                    mask, own, shorter = (_unpack(x, kind) for x, kind in zip(answers[level, g], ("<u1", "<f4", "<f4")))
+                    where = order[cuts[g]:cuts[g + 1]]
+                    where = where[np.unpackbits(mask, count=len(where)).view(bool)]
+                    a[where], b[where] = own, shorter
             kept = b[inverse] >= 0
             self.at = self.at[kept]
             self.p[self.at] = a[inverse][kept] + b[inverse][kept] * self.p[self.at]
 
     def pairs(self, level: int):
-        """Distinct (context, next token) pairs of the tokens that are still in the tree: contexts' hashes, tokens, and
-        the order and bounds by group, and each token's pair. Also narrows to tokens that have so long a context."""
+        """Distinct (context, next token) pairs of the tokens that are still in the tree: keys, tokens, the order by
+        group and key and the groups' bounds in it, and each token's pair. Narrows to tokens with so long a context."""
         back = self.at - level
         start = np.repeat(self.first, self.sizes)[self.at]
         there = back >= start - 1  # one BEGIN stands before each document
@@ -145,18 +165,28 @@ class Chunk:
         with np.errstate(over="ignore"):
             self.context[self.at] = _mix(self.context[self.at] * _STEP + word + _U(level))
         context, token = self.context[self.at], self.token[self.at]
-        kinds, number = np.unique(context, return_inverse=True)
-        key, inverse = np.unique(number * len(self.words) + token, return_inverse=True)
-        contexts, tokens = kinds[key // len(self.words)], key % len(self.words)
-        order, cuts = split(contexts, self.groups)
-        return contexts, tokens, order, cuts, inverse
+        with np.errstate(over="ignore"):
+            name = _mix(context * _STEP + self.words[token])  # 64 bits name the pair within the chunk
+        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        contexts, tokens = context[first], token[first]
+        keys = (_mix(contexts) & ~_U(0xFFFFFFFF)) | (self.words[tokens] >> _U(32))
+        order, cuts = split(contexts, keys, self.groups)
+        return keys, tokens, order, cuts, inverse
+
+
+def split(owner: np.ndarray, keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the group that owns a row and by key, and the groups' bounds in it."""
+    g = (owner % _U(groups)).astype(np.int64)
+    order = np.lexsort((keys, g))
+    return order, np.searchsorted(g[order], np.arange(groups + 1))
 
 
-def split(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by group and the groups' bounds in it."""
-    g = (hashes % _U(groups)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    return order, np.searchsorted(g[order], np.arange(groups + 1))
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=_U(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, "<u8"), dtype=_U)
 
 
 # --- counting and growing -------------------------------------------------------------------------------------------
@@ -179,8 +209,8 @@ def _ask_words(groups: int):
             for row in b.to_pylist():
                 c = Chunk(row, {}, (0, 0, 0.0), groups)
                 n = np.bincount(c.token[c.train], minlength=len(c.words))
-                order, cuts = split(c.words, groups)
-                yield _ask_batch([(g, c.number, c.words[o].tobytes(), _pack(n[o].astype("<u4")), b"")
+                order, cuts = split(c.words, c.words, groups)
+                yield _ask_batch([(g, c.number, _pack_sorted(c.words[o]), _pack(n[o].astype("<u4")), b"")
                                   for g in range(groups) if len(o := order[cuts[g]:cuts[g + 1]])])
 
     return run
@@ -189,7 +219,7 @@ def _ask_words(groups: int):
 def _count_words(table: pa.Table) -> pa.Table:
     """Counts of a group's words, given back to each chunk in the order it asked; the group's totals in the first row."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], _U) for r in rows]
+    keys = [_unpack_sorted(r["keys"]) for r in rows]
     kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
     out, at = [], 0
@@ -218,7 +248,7 @@ def kept_contexts(context: np.ndarray, n: np.ndarray, ln_p: np.ndarray) -> tuple
 def _grow(level: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], _U) for r in rows]
+        keys = [_unpack_sorted(r["keys"]) for r in rows]
         kinds, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
         ln_p = np.concatenate([_unpack(r["tenths"], "<u1") for r in rows])[first] / -_TENTHS
@@ -227,9 +257,10 @@ def _grow(level: int):
         for r, k in zip(rows, keys):
             pair = inverse[at:at + len(k)]
             at += len(k)
-            pos = np.flatnonzero(kept[pair])
-            if len(pos):
-                out.append((r["chunk"], level, r["g"], pos.astype("<u4").tobytes(), own[pair[pos]].astype("<f4").tobytes(), shorter[pair[pos]].astype("<f4").tobytes(), 0, 0, 0, 0))
+            mask = kept[pair]
+            if mask.any():
+                pair = pair[mask]
+                out.append((r["chunk"], level, r["g"], _pack(np.packbits(mask)), _pack(own[pair].astype("<f4")), _pack(shorter[pair].astype("<f4")), 0, 0, 0, 0))
         cols = zip(*out) if out else [()] * len(_ANSWER_KINDS)
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, _ANSWER_KINDS)], names=_ANSWER_NAMES)
 
@@ -249,13 +280,12 @@ def _ask_pairs(level: int, totals, groups: int):
             pairs = c.pairs(level)
             if pairs is None:
                 continue
-            contexts, tokens, order, cuts, inverse = pairs
-            n = np.bincount(inverse, c.train[c.at], minlength=len(contexts)).astype("<u4")
-            ln_p = np.zeros(len(contexts))
+            keys, _, order, cuts, inverse = pairs
+            n = np.bincount(inverse, c.train[c.at], minlength=len(keys)).astype("<u4")
+            ln_p = np.zeros(len(keys))
             ln_p[inverse] = np.log(c.p[c.at])
             tenths = np.clip(np.round(-ln_p * _TENTHS), 0, 255).astype("<u1")
-            key = (_mix(contexts) & ~_U(0xFFFFFFFF)) | (c.words[tokens] >> _U(32))
-            out += [(g, c.number, key[o].tobytes(), _pack(n[o]), _pack(tenths[o])) for g in range(groups) if len(o := order[cuts[g]:cuts[g + 1]])]
+            out += [(g, c.number, _pack_sorted(keys[o]), _pack(n[o]), _pack(tenths[o])) for g in range(groups) if len(o := order[cuts[g]:cuts[g + 1]])]
         return pa.Table.from_batches([_ask_batch(out)])
 
     return run
@@ -288,9 +318,10 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, ch
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), "text")
-    chunks = stage(cols.mapInArrow(_to_chunks(chunk_tokens), _CHUNK_SCHEMA))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_GROUP))
-    chunks = _by_chunk(chunks, groups)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (CHUNKS_A_GROUP * 6 * chunk_tokens)))
+    release(spark)
+    chunks = _by_chunk(cols.mapInArrow(_to_chunks(chunk_tokens), _CHUNK_SCHEMA), groups)
 
     answers = stage(chunks.mapInArrow(_ask_words(groups), _ASK).groupBy("g").applyInArrow(_count_words, _ANSWER))
     t = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "ones", "twos")]).first()
@@ -304,5 +335,6 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, ch
         asked = together(_ask_pairs(level, totals, groups), _ASK)
         grown = stage(asked.groupBy("g").applyInArrow(_grow(level), _ANSWER))
         answers = answers.union(grown)
+        release(spark)
     out = together(_score(totals, groups), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(t.tokens).cast("long"))
