@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 
 #: Entries of a task's caches of pieces and of token pairs. A full cache becomes the old one, from which what is asked
 #: for again moves to the new one, so frequent pieces stay. Longer pieces are not kept.
-CACHE, CACHED_PIECE = 250_000, 48
+CACHE, CACHED_PIECE = 150_000, 48
 #: White space as the rank files' libraries understand it; Python's own \s also takes four control characters.
 _SPACE, _NOT_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 
@@ -192,8 +192,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, size, every = byte_table(path)
         for b in batches:
-            for lo in range(0, max(1, b.num_rows), 64):  # a few documents at a time
-                part = b.slice(lo, 64)
+            for lo in range(0, max(1, b.num_rows), 16):  # a few documents at a time
+                part = b.slice(lo, 16)
                 col = part.column(ids)
                 flat = col.flatten().to_numpy(zero_copy_only=False)
                 width = size[flat]
