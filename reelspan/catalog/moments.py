@@ -324,8 +324,7 @@ def _candidates(spark, sf):
 
 
 _TERMS = f"list_distinct(list_filter({S.words(S.norm('text'))}, lambda t: length(t) >= 4 AND t NOT IN ({', '.join(q(w) for w in FIX.stopwords)})))"
-_CANDS = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY final_score DESC, s, e, id) AS k FROM calibrated),
-top AS (SELECT * FROM ranked WHERE k <= 160)"""
+_CANDS = "top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY final_score DESC, s, e, id) AS k FROM calibrated)"
 
 
 def _inter(a: str, b: str) -> str:
@@ -342,12 +341,12 @@ def _over(a: str, b: str) -> str:
 
 
 @query(f"""WITH {CAL}, {_CANDS}, t AS (SELECT project_id, k, id, s, e, {_TERMS} AS terms FROM top)
- SELECT a.project_id, a.id AS id_a, b.id AS id_b, {r(_over('a', 'b'), 4)} AS overlap, {r(_sim('a.terms', 'b.terms'), 4)} AS similarity,
-  {r('abs((a.s + a.e) / 2 - (b.s + b.e) / 2)')} AS midpoint_gap, {r('greatest(0, greatest(a.s, b.s) - least(a.e, b.e))')} AS edge_gap
- FROM t a JOIN t b ON a.project_id = b.project_id AND a.k < b.k AND greatest(0, greatest(a.s, b.s) - least(a.e, b.e)) <= 20""")
+ SELECT a.project_id, a.id, count(b.id) AS neighbours, max({r(_over('a', 'b'), 4)}) FILTER (b.id IS NOT NULL) AS overlap, max({r(_sim('a.terms', 'b.terms'), 4)}) FILTER (b.id IS NOT NULL) AS similarity,
+  min({r('abs((a.s + a.e) / 2 - (b.s + b.e) / 2)')}) AS midpoint_gap, min({r('greatest(0, greatest(a.s, b.s) - least(a.e, b.e))')}) FILTER (b.id IS NOT NULL) AS edge_gap
+ FROM t a LEFT JOIN t b ON a.project_id = b.project_id AND a.id <> b.id AND greatest(0, greatest(a.s, b.s) - least(a.e, b.e)) <= 20 GROUP BY a.project_id, a.id""")
 def neighbour_pairs(spark, sf):
-    d = sl.neighbour_pairs(_candidates(spark, sf), CLIP, FIX)
-    return d.select("project_id", "id_a", "id_b", round_to(F.col("overlap"), 4).alias("overlap"),
+    d = sl.neighbours(_candidates(spark, sf), FIX)
+    return d.select("project_id", "id", "neighbours", round_to(F.col("overlap"), 4).alias("overlap"),
                     round_to(F.col("similarity"), 4).alias("similarity"), round2(F.col("midpoint_gap")).alias("midpoint_gap"),
                     round2(F.col("edge_gap")).alias("edge_gap"))
 
@@ -405,9 +404,10 @@ def _audit(spark, sf):
     return sl.select_candidates(_candidates(spark, sf), pr.promotional_blocks(s, FIX), CLIP, FIX)
 
 
-@query(f"WITH RECURSIVE {SELECT} SELECT * FROM audit")
+@query(f"""WITH RECURSIVE {SELECT} SELECT a.*, top.s AS start, top.e AS "end",
+ CASE WHEN decision = 'selected' THEN row_number() OVER (PARTITION BY a.project_id, phase, decision ORDER BY k) END AS clip_no FROM audit a JOIN top USING (project_id, id)""")
 def selection_audit(spark, sf):
-    return _audit(spark, sf).select("project_id", "id", "score", "phase", "decision", "reason")
+    return _audit(spark, sf).select("project_id", "id", "score", "phase", "decision", "reason", "start", "end", "clip_no")
 
 
 @query(f"""WITH RECURSIVE {SELECT} SELECT regexp_replace(reason, ' (of|as|after) .*$| \\(.*$', '') AS reason_kind, count(*) AS n FROM audit WHERE decision = 'rejected' GROUP BY 1""")
@@ -423,7 +423,7 @@ def selection_summary(spark, sf):
     s = sentences(spark, sf)
     cands, blocks = _candidates(spark, sf), pr.promotional_blocks(s, FIX)
     d = sl.audit_summary(cands, sl.select_candidates(cands, blocks, CLIP, FIX), blocks)
-    return d.select("project_id", "pool_count", "selected_count", F.size("rejected").cast("long").alias("rejected_count"), "fallback",
+    return d.select("project_id", "pool_count", "selected_count", "rejected_count", "fallback",
                     F.coalesce("promotional_ranges", F.lit(0)).alias("promotional_ranges"))
 
 

@@ -128,6 +128,17 @@ def test_selection_rejects_duplicates_and_falls_back(spark):
     assert "below strict quality gate" in picked.problems
 
 
+def test_selection_walks_past_any_number_of_bad_candidates(spark):
+    none = pr.promotional_blocks(sentences(spark, [(80, 84, "Ссылка на курс в описании.")]))
+    word = lambda i: "".join(chr(1072 + int(c)) * 2 for c in str(100_000 + i))
+    rows = [(f"c{i:03d}", 1000 + 100 * i, 1030 + 100 * i, f"{word(i)} {word(7 * i + 500)} {word(11 * i + 9000)}.", 95 - i / 100) for i in range(200)]
+    d = moment_rows(spark, rows).withColumn("problems", F.when(F.col("id") < "c165", F.array(F.lit("teaser without payoff"))).otherwise(F.col("problems")))
+    audit = sl.select_candidates(d, none, ClipParams(target_count=3, min_score=60)).collect()
+    picks = sorted((a.clip_no, a.id, a.start, a.end) for a in audit if a.decision == "selected")
+    assert picks == [(k + 1, f"c{165 + k}", 1000 + 100 * (165 + k), 1030 + 100 * (165 + k)) for k in range(3)]
+    assert sum(a.decision == "rejected" for a in audit) == 165
+
+
 # -- analysis ------------------------------------------------------------------------
 
 
