@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,6 +29,9 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         # text scoring is CPU-bound on small inputs: let AQE keep small partitions apart
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("reelspan.textPartitions", str(2 * int(cpus)) if cpus.isdigit() else "16")  # the tables are one row group each
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reelspan-bench-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.log.level", "ERROR").getOrCreate()
     )
 

@@ -185,7 +185,7 @@ GENERATED_EFFECTS = (
     "shot_motion",
 )
 BASE_HASHTAGS = ("#shorts", "#tiktok", "#reels")
-MODEL_REASON = "Personal ranking: local sklearn model prediction."
+MODEL_REASON = "Personal ranking: prediction of the trained model."
 ONLINE_REASON = "Personal ranking: online type and feature preference."
 ONLINE_RANKER = "online_preference_v002"
 MODEL_SPEC = "personal_logistic_v2"

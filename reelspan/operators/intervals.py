@@ -26,7 +26,9 @@ def overlap_join(
     right side, in every bucket where it meets nothing (see overlap_aggregate).
     """
     ls, le = F.col(l[0]), F.col(l[1])
-    a = left.withColumn("_b", F.explode(F.sequence(_bucket(ls, width), F.greatest(_bucket(ls, width), _bucket(le, width)))))
+    buckets = F.sequence(_bucket(ls, width), F.greatest(_bucket(ls, width), _bucket(le, width)))
+    # a row without bounds meets nothing, but stays in a left join
+    a = left.withColumn("_b", (F.explode_outer if how == "left" else F.explode)(buckets))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     rs, re_ = F.col(f"r_{r[0]}"), F.col(f"r_{r[1]}")
     b = b.withColumn("_rb", F.explode(F.sequence(_bucket(rs, width), F.greatest(_bucket(rs, width), _bucket(re_, width)))))

@@ -17,8 +17,8 @@ from reelspan.operators import events as ev
 from reelspan.operators.features import NUMERIC, with_features
 from reelspan.params import LearningParams
 
-# Group tables up to this many rows may be ranked by one window task.
-SMALL_GROUP_TABLE = 100_000
+#: Ways to deal projects into folds that are tried for each number of folds.
+FOLD_SALTS = 32
 
 
 def retention_summary(rows: DataFrame) -> DataFrame:
@@ -136,7 +136,8 @@ def with_online_adjustment(moments: DataFrame, types: DataFrame, numeric: list)
     parts = F.lit(0.0)
     for name, centre, strength in numeric:
         x = F.col(f"features.{name}")
-        parts = parts + F.when(x > centre, F.lit(strength)).when(x < centre, F.lit(-strength)).otherwise(0.0)
+        # the last bits of a mean depend on the order of its sum
+        parts = parts + F.when(x > centre + 1e-9, F.lit(strength)).when(x < centre - 1e-9, F.lit(-strength)).otherwise(0.0)
     d = moments.withColumn("_kind", F.col("features.moment_type")).join(
         types.select(F.col("moment_type").alias("_kind"), F.col("adjustment").alias("_type_adj")), "_kind", "left"
     )
@@ -186,11 +187,16 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return d.select(*keep, F.when(fine, F.get("_p", F.lit(1))).alias("model_probability"))
 
 
+def _fold(salt: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64("project_id", salt), F.lit(k)).cast("int")
+
+
 def fold_map(rows: DataFrame) -> tuple[DataFrame, int] | None:
     """(project_id, fold) with projects undivided and both classes in every training part.
 
-    None if a row has no project or no admissible split exists. Small group
-    tables are dealt out by size; larger ones are hashed, without any ordering.
+    None if a row has no project or no admissible split is found. Projects are dealt by a salted hash; of FOLD_SALTS
+    salts, all counted in one pass, the admissible one with the smallest largest fold is taken. A project's fold so
+    depends on its name and the salt alone, at any number of projects, and nothing is sorted.
     """
     groups = rows.groupBy("project_id").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
@@ -201,16 +207,14 @@ def fold_map(rows: DataFrame) -> tuple[DataFrame, int] | None:
     if total == 0 or nulls:
         return None
     for k in range(min(5, with_p, with_n), 1, -1):
-        if total <= SMALL_GROUP_TABLE:
-            order = Window.orderBy(F.desc(F.least("p", "n")), F.desc(F.col("p") - F.col("n")), F.xxhash64("project_id"))
-            fold = (F.row_number().over(order) - 1) % k
-        else:
-            fold = F.pmod(F.xxhash64("project_id"), F.lit(k))
-        folds = groups.withColumn("fold", fold.cast("int"))
-        per_fold = folds.groupBy("fold").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()
-        all_p, all_n = sum(r.p for r in per_fold), sum(r.n for r in per_fold)
-        if len(per_fold) == k and all(all_p - r.p > 0 and all_n - r.n > 0 for r in per_fold):
-            return folds.select("project_id", "fold"), k
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FOLD_SALTS - 1))))
+        per_fold = salted.groupBy("salt", _fold(F.col("salt"), k).alias("fold")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        all_p, all_n = (F.sum(c).over(Window.partitionBy("salt")) for c in ("p", "n"))
+        per_fold = per_fold.withColumn("ok", (all_p > F.col("p")) & (all_n > F.col("n")))
+        best = per_fold.groupBy("salt").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("folds"), F.max(F.col("p") + F.col("n")).alias("largest"))
+        salt = best.where(F.col("ok") & (F.col("folds") == k)).orderBy("largest", "salt").first()
+        if salt:
+            return groups.select("project_id", _fold(F.lit(salt.salt), k).alias("fold")), k
     return None
 
 

@@ -99,7 +99,7 @@ def repair_transcript(transcripts: DataFrame) -> DataFrame:
     d = d.withColumn(
         "text_changed",
         F.coalesce(F.col("text") != F.col("_text"), F.lit(False))
-        | (F.to_json(F.struct("segments")) != F.to_json(F.struct(F.col("_fixed").alias("segments")))),
+        | ~F.col("segments").eqNullSafe(F.col("_fixed")),
     )
     joined = F.array_join(F.transform("_fixed", lambda s: s["text"]), " ")
     return d.withColumns({

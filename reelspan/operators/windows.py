@@ -79,10 +79,6 @@ def candidate_windows(sentences: DataFrame, p: ClipParams = ClipParams(), chunk_
     """
     longest = p.max_duration_sec
     d = with_halo(sentences, F.col("start"), chunk_sec, after=longest)
-    # Windows repeat each sentence about twenty times. AQE would size partitions by
-    # the small input, so their number is pinned to the session's setting.
-    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(n, "project_id", "_chunk")
     frame = (
         Window.partitionBy("project_id", "_chunk").orderBy("start")
         .rangeBetween(0, int(math.ceil(longest)))

@@ -14,11 +14,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts. One unsplittable row group would put all text rules into one
-    task; where a scan has few splits for the cluster's cores, rows are dealt out first."""
-    d = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return d.repartition(cores) if d.rdd.getNumPartitions() < 2 * cores else d
+    """A table of long texts, as its files are split. For files that cannot be split (one row group each) a user may
+    set ``reelspan.textPartitions``, to which rows are then dealt out before the text rules; nothing is inspected."""
+    d, n = table(spark, sf, name), spark.conf.get("reelspan.textPartitions", None)
+    return d.repartition(int(n)) if n else d
 
 
 def segments(spark: SparkSession, sf: str, words: bool = False) -> DataFrame:

@@ -45,7 +45,7 @@ def test_train_skip_and_deactivate(spark, tmp_path):
     first = tr.train(spark, base, lambda: d)
     assert first["trained"] and first["active"] and tr.active_model(spark, base) is not None
     again = tr.train(spark, base, lambda: d)
-    assert not again["trained"] and again["message"].startswith("Latest feedback")
+    assert not again["trained"] and again["outcome"] == "unchanged"
     few = tr.train(spark, base, lambda: d.where("label = 1"))
     assert not few["trained"] and tr.active_model(spark, base) is None
     assert spark.read.parquet(f"{base}/model_examples").count() == 12
