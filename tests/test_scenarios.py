@@ -128,6 +128,16 @@ def test_selection_rejects_duplicates_and_falls_back(spark):
     assert "below strict quality gate" in picked.problems
 
 
+def test_suggestion_without_a_sensible_end(spark):
+    s = sentences(spark, [(0, 4, "Первая мысль."), (5, 9, "Вторая мысль."), (70, 80, "Третья мысль.")])
+    answers = spark.createDataFrame([(s.first().project_id, 0, '[{"start": 5.0, "end": 1e12}]'), (s.first().project_id, 1, '[{"start": 1e12, "end": 2e12}]')],
+                                    "project_id string, window_id int, response string")
+    from reelspan.sources import files as fl
+    got = {r.id: r for r in cal.suggestion_moments(fl.parse_suggestions(answers), s).collect()}
+    assert got["suggested_0_0"].end == 80 and got["suggested_0_0"].text == "Вторая мысль. Третья мысль."
+    assert got["suggested_1_0"].text == ""
+
+
 def test_selection_walks_past_any_number_of_bad_candidates(spark):
     none = pr.promotional_blocks(sentences(spark, [(80, 84, "Ссылка на курс в описании.")]))
     word = lambda i: "".join(chr(1072 + int(c)) * 2 for c in str(100_000 + i))
