@@ -75,10 +75,10 @@ def first_seen_labels(spark, sf):
 
 @query()
 def voice_clusters(spark, sf):
-    """Anchors clustered over the corpus, named per recording; short turns by nearest voice."""
+    """Anchors clustered and named per recording; short turns by nearest voice."""
     items = ad.embeddings(spark, sf)
     base = sp.anchors(items)
-    labels = sp.label_by_first_seen(sp.cluster_corpus(base))
+    labels = sp.label_by_first_seen(sp.cluster_recordings(base))
     cents = sp.centroids(base, labels)
     return sp.assign_short_turns(items, labels, cents, sp.assignment_limits(base, labels, cents))
 

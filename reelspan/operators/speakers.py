@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +10,7 @@ from reelspan.functions import text as tx
 from reelspan.operators.intervals import overlap_join, overlap_seconds, point_join
 from reelspan.operators.scan import running
 from reelspan.params import SpeakerParams
+from reelspan.session import cut_lineage
 
 PIPELINE_VERSION = "speaker-pipeline-v3"
 
@@ -41,42 +38,66 @@ def anchors(items: DataFrame, p: SpeakerParams = SpeakerParams()) -> DataFrame:
     return items.join(n, "project_id").where(good | (F.col("_anchors") < 2)).drop("_anchors")
 
 
-def cluster_corpus(items: DataFrame, p: SpeakerParams = SpeakerParams()) -> DataFrame:
-    """(project_id, pos, cluster): best number of voices 1..max by silhouette with size and separation gates.
+def _assigned(items: DataFrame, centres: DataFrame) -> DataFrame:
+    """Items (project_id, pos, u) once per (project_id, k) of ``centres``, with the nearest centre's number."""
+    d = items.join(centres, "project_id")
+    far = F.transform("c", lambda x: dot(x, x) - 2 * dot(F.col("u"), x))
+    return d.withColumn("_far", far).select("project_id", "k", "pos", "u", (F.array_position("_far", F.array_min("_far")) - 1).cast("int").alias("cluster"))
+
+
+def _gathered(assigned: DataFrame, value: Column, name: str) -> DataFrame:
+    """(project_id, k, ``name``): per cluster its number of items and ``value``, an array of at most k entries."""
+    g = assigned.groupBy("project_id", "k", "cluster").agg(F.count("*").alias("n"), value.alias("v"))
+    entry = F.struct("cluster", "n", vector_to_array("v").alias("v"))
+    return g.groupBy("project_id", "k").agg(F.sort_array(F.collect_list(entry)).alias(name))
+
+
+def cluster_recordings(items: DataFrame, p: SpeakerParams = SpeakerParams(), rounds: int = 12) -> DataFrame:
+    """(project_id, pos, cluster): per recording the best number of voices, 1 to the maximum.
 
-    One fit over the embeddings passed in (a recording, a show, a corpus).
-    Fewer than three items follow fixed rules instead of a fit.
+    Lloyd rounds run for all recordings and all numbers of voices at once, from starts that are farthest from each
+    other; means combine map-side, so a recording of any length is no single task's. The silhouette (cosine) follows
+    from each cluster's sum of unit vectors. Recordings of one or two items follow fixed rules.
     """
-    d = items.select("project_id", "pos", unit(F.col("embedding")).alias("u"))
-    n = d.count()
-    if n <= 2:
-        w = Window.partitionBy("project_id").orderBy("pos")
-        gap = distance(F.col("u"), F.first("u").over(w))
-        return d.select("project_id", "pos", (gap >= p.distance_threshold).cast("int").alias("cluster"))
-    d = d.withColumn("features", array_to_vector("u")).cache()
-    try:
-        best, best_score = None, float("-inf")
-        smallest = 1 if n < 8 else max(2, math.ceil(n * 0.03))
-        separation = max(0.06, p.distance_threshold * 0.35)
-        evaluator = ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine", predictionCol="cluster")
-        for k in range(2, min(p.max_speakers, n - 1) + 1):
-            model = KMeans(k=k, seed=7, distanceMeasure="cosine", predictionCol="cluster", maxIter=50).fit(d)
-            labelled = model.transform(d)
-            sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"), Summarizer.mean(F.col("features")).alias("c")).collect()
-            if len(sizes) < 2 or min(r.n for r in sizes) < smallest:
-                continue
-            cents = [r.c / (r.c.norm(2) or 1.0) for r in sizes]
-            closest = min(1.0 - float(cents[i].dot(cents[j])) for i in range(len(cents)) for j in range(i))
-            if closest < separation:
-                continue
-            score = evaluator.evaluate(labelled) - max(0, k - 2) * 0.008
-            if score > best_score:
-                best, best_score = model, score
-        if best is None or best_score < 0.10:
-            return d.select("project_id", "pos", F.lit(0).alias("cluster"))
-        return best.transform(d).select("project_id", "pos", "cluster")
-    finally:
-        d.unpersist()
+    d = cut_lineage(items.select("project_id", "pos", unit(F.col("embedding")).alias("u")))
+    counts = d.groupBy("project_id").agg(F.count("*").alias("items"))
+    d = d.join(counts, "project_id")
+    first = F.first("u").over(Window.partitionBy("project_id").orderBy("pos"))
+    few = d.where("items <= 2").select("project_id", "pos", (distance(F.col("u"), first) >= p.distance_threshold).cast("int").alias("cluster"))
+
+    many = d.where("items > 2")
+    starts = many.groupBy("project_id").agg(F.array(F.min_by("u", "pos")).alias("c"), F.first("items").alias("items"))
+    for _ in range(p.max_speakers - 1):
+        near = F.array_min(F.transform("c", lambda x: distance(F.col("u"), x)))
+        far = many.drop("items").join(starts, "project_id").groupBy("project_id").agg(F.max_by("u", F.struct(near, -F.col("pos"))).alias("_u"))
+        starts = cut_lineage(starts.join(far, "project_id").select("project_id", F.array_append("c", F.col("_u")).alias("c"), "items"))
+    ks = F.sequence(F.lit(2), F.least(F.lit(p.max_speakers), (F.col("items") - 1).cast("int")))
+    centres = starts.select("project_id", F.explode(ks).alias("k"), "c").select("project_id", "k", F.slice("c", F.lit(1), F.col("k")).alias("c"))
+    many = many.drop("items")
+    vector = array_to_vector("u")
+    for _ in range(rounds):
+        means = _gathered(_assigned(many, centres), Summarizer.mean(vector), "m")
+        centres = cut_lineage(means.select("project_id", "k", F.transform("m", lambda x: x["v"]).alias("c")))
+    done = cut_lineage(_assigned(many, centres))
+
+    sums = _gathered(done, Summarizer.sum(vector), "s").join(counts, "project_id")
+    mean = F.transform("s", lambda x: unit(x["v"]))
+    gaps = F.flatten(F.transform("_mean", lambda x, i: F.transform(F.filter("_mean", lambda y, j: j > i), lambda y: distance(x, y))))
+    smallest = F.when(F.col("items") < 8, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("items") * 0.03)))
+    fit = sums.withColumn("_mean", mean).where(
+        (F.size("s") > 1) & (F.array_min(F.transform("s", lambda x: x["n"])) >= smallest)
+        & (F.array_min(gaps) >= max(0.06, p.distance_threshold * 0.35))).select("project_id", "k", "s")
+    own = F.get(F.filter("s", lambda x: x["cluster"] == F.col("cluster")), F.lit(0))
+    within = (F.col("_own.n") - dot(F.col("u"), F.col("_own.v"))) / (F.col("_own.n") - 1)
+    other = F.array_min(F.transform(F.filter("s", lambda x: x["cluster"] != F.col("cluster")), lambda x: (x["n"] - dot(F.col("u"), x["v"])) / x["n"]))
+    s = done.join(fit, ["project_id", "k"]).withColumn("_own", own).withColumns({"_a": F.when(F.col("_own.n") > 1, within), "_b": other})
+    silhouette = F.when(F.greatest("_a", "_b") > 0, (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(0.0)
+    scores = s.groupBy("project_id", "k").agg((F.avg(F.when(F.col("_a").isNotNull(), silhouette).otherwise(0.0))).alias("_score"))
+    scores = scores.withColumn("_score", tx.round_to(F.col("_score") - F.greatest(F.lit(0), F.col("k") - 2) * 0.008, 9))
+    best = scores.where("_score >= 0.10").groupBy("project_id").agg(F.max_by("k", F.struct("_score", -F.col("k"))).alias("k"))
+    chosen = done.join(best, ["project_id", "k"]).select("project_id", "pos", "cluster")
+    single = many.join(best, "project_id", "left_anti").select("project_id", "pos", F.lit(0).alias("cluster"))
+    return few.unionByName(chosen).unionByName(single)
 
 
 def label_by_first_seen(clusters: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def test_clustering_ignores_an_outlier(spark):
     step = [i * 0.16 / 11 - 0.08 for i in range(12)]
     rows = [("p", i, [1.0, o]) for i, o in enumerate(step)] + [("p", 12 + i, [o, 1.0]) for i, o in enumerate(step)] + [("p", 24, [-1.0, 0.0])]
     items = spark.createDataFrame([(p, i, v, 2.0, 3) for p, i, v in rows], "project_id string, pos long, embedding array<double>, duration double, n_words int")
-    sizes = [r["count"] for r in sp.label_by_first_seen(sp.cluster_corpus(items)).groupBy("speaker").count().collect()]
+    sizes = [r["count"] for r in sp.label_by_first_seen(sp.cluster_recordings(items)).groupBy("speaker").count().collect()]
     assert len(sizes) == 2 and min(sizes) >= 12
 
 
