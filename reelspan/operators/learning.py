@@ -100,11 +100,10 @@ def preferred_types(rows: DataFrame) -> DataFrame:
 def type_preferences(rows: DataFrame) -> DataFrame:
     """(moment_type, adjustment): 6 x difference of class shares x support / (support + 4)."""
     pos, neg = F.col("label") == 1, F.col("label") == 0
-    totals = rows.agg(F.count_if(pos).alias("p"), F.count_if(neg).alias("n")).withColumn("_one", F.lit(1))
-    g = rows.groupBy(F.col("features.moment_type").alias("moment_type")).agg(
-        F.count_if(pos).alias("tp"), F.count_if(neg).alias("tn")
-    ).withColumn("_one", F.lit(1))
-    d = g.join(totals, "_one")
+    totals = rows.agg(F.struct(F.count_if(pos).alias("p"), F.count_if(neg).alias("n"))).scalar()
+    d = rows.groupBy(F.col("features.moment_type").alias("moment_type")).agg(
+        F.count_if(pos).alias("tp"), F.count_if(neg).alias("tn"), totals.alias("t")
+    ).select("*", "t.*")
     support = F.col("tp") + F.col("tn")
     diff = F.col("tp") / F.greatest("p", F.lit(1)) - F.col("tn") / F.greatest("n", F.lit(1))
     return d.select("moment_type", (diff * 6 * support / (support + 4)).alias("adjustment"))

@@ -145,7 +145,8 @@ def test_stream_equals_batch_with_late_rows(spark, tmp_path):
         assert got == {(1, 1), (2, 4)}  # the late reject loses, rendered and rule-breaking rows never count
 
 
-@pytest.mark.parametrize("name", ["latest_decisions", "list_clips", "candidate_windows", "interval_text", "promo_overlap", "clip_boundaries", "neighbour_pairs", "inherited_speakers"])
+@pytest.mark.parametrize("name", ["latest_decisions", "list_clips", "candidate_windows", "interval_text", "promo_overlap", "clip_boundaries", "neighbour_pairs", "inherited_speakers",
+                                  "type_preferences", "ranker_summary", "personal_ranking", "project_activity", "selection_summary"])
 def test_plans_have_no_nested_loops_and_no_python(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas"):
