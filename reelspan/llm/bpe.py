@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 
 #: Entries of a task's caches of pieces and of token pairs. A full cache becomes the old one, from which what is asked
 #: for again moves to the new one, so frequent pieces stay. Longer pieces are not kept.
-CACHE, CACHED_PIECE = 150_000, 48
+CACHE, CACHED_PIECE = 80_000, 48
 #: White space as the rank files' libraries understand it; Python's own \s also takes four control characters.
 _SPACE, _NOT_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 
@@ -59,18 +59,18 @@ class ByteBPE:
         self.automaton.make_automaton()
         # the longest token that starts a token, shorter than it
         self.shorter = {r: next((s for k in range(self.size[r] - 1, 0, -1) if (s := ranks.get(self.token[r][:k])) in last), -1) for r in last}
-        self.right_edge = {r: self._edge(r, last, -1) for r in last}
-        self.left_edge = {r: self._edge(r, last, 0) for r in last}
-        self.joined = {pair: r for r, pair in last.items() if len(pair) == 2}
+        self.last = {r: pair for r, pair in last.items() if len(pair) == 2}
+        self.joined = {a << 32 | b: r for r, (a, b) in self.last.items()}
 
-    @staticmethod
-    def _edge(r: int, last: dict[int, tuple[int, int]], side: int) -> list[tuple[int, int]]:
+    def _edge(self, r: int, side: int) -> Iterator[tuple[int, int]]:
         """The tokens that stand at one edge while ``r`` is being made, each with the rank of the merge that ends it."""
-        out = [(r, 1 << 60)]
-        while len(last.get(r, ())) == 2:
-            out.append((last[r][side], r))
-            r = last[r][side]
-        return out
+        ends = 1 << 60
+        while True:
+            yield r, ends
+            pair = self.last.get(r)
+            if pair is None:
+                return
+            r, ends = pair[side], r
 
     def merges(self, piece: bytes) -> list[bytes]:
         """The merges of a token, carried out until two parts are left (one for a single byte)."""
@@ -91,9 +91,8 @@ class ByteBPE:
             got = self.old_pairs.get(key)
             if got is None:
                 joined, none = self.joined, 1 << 61
-                got = not any(
-                    (m := joined.get((x, y), none)) < ends_x and m <= ends_y
-                    for x, ends_x in self.right_edge[a] for y, ends_y in self.left_edge[b])
+                left = list(self._edge(b, 0))
+                got = not any((m := joined.get(x << 32 | y, none)) < ends_x and m <= ends_y for x, ends_x in self._edge(a, 1) for y, ends_y in left)
             if len(self.pairs) >= CACHE:
                 self.old_pairs, self.pairs = self.pairs, {}
             self.pairs[key] = got
@@ -175,19 +174,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
-            parts = [c.encode(x) if x else b"" for x in b.column(text).to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-            # the field must not be nullable, as the schema says
-            lists = pa.ListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.field("element", pa.int32(), False)))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), lists], names=[*kept, ids])
+            for lo in range(0, max(1, b.num_rows), 128):  # a few documents at a time
+                part = b.slice(lo, 128)
+                coded = [c.encode(x) if x else b"" for x in part.column(text).to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in coded)], dtype=np.int64).astype(np.int32)
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
+                # the field must not be nullable, as the schema says
+                lists = pa.ListArray.from_arrays(pa.array(ends), values).cast(pa.list_(pa.field("element", pa.int32(), False)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), lists], names=[*kept, ids])
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of ``ids`` (null: none) in the binary column ``into``, in place of ``ids``."""
-    schema, kept = _schema(encoded, ids, (into, T.BinaryType()))
+def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep: bool = False) -> DataFrame:
+    """``encoded`` with the bytes of ``ids`` (null: none) in the binary column ``into``, in place of ``ids`` or, with
+    ``keep``, beside it."""
+    schema, kept = _schema(encoded, None if keep else ids, (into, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, size, every = byte_table(path)

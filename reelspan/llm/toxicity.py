@@ -248,7 +248,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
             for f, n in zip(b.column("f").to_pylist(), b.column("n").to_pylist()):
                 key = (*f, -1, *n)
                 if key not in seen:
-                    if len(seen) > 100_000:
+                    if len(seen) > 20_000:
                         seen.clear()
                     share, ids, nearest = m.vote(f, n)
                     seen[key] = (m.calibrated(share), ids, nearest)
