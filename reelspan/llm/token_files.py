@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
@@ -48,7 +47,7 @@ class WordEncoder:
         if missing:
             fresh = {w: self.old.get(w) for w in {words[i] for i in missing}}
             unknown = [w for w, b in fresh.items() if b is None]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in unknown], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in unknown], add_special_tokens=False)
             fresh.update((w, array("I", e.ids).tobytes()) for w, e in zip(unknown, coded))
             for i in missing:
                 out[i] = fresh[words[i]]
@@ -63,9 +62,11 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int, at_once: int = 64) -> DataFrame:
-    """(doc_id, n_ids, ids): ids as little-endian 32-bit integers, the end id last. Null texts have the end id only."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def encode_ids(docs: DataFrame, path: str, end_id: int, cuts: np.ndarray | None = None, at_once: int = 64) -> DataFrame:
+    """(part, place, doc_id, ids): ids as little-endian 32-bit integers, the end id last, null texts with the end id only;
+    place is doc_id for ordering (``id_order``), part the range between ``cuts`` it lies in."""
+    cuts = np.zeros(0, np.int64) if cuts is None else cuts
+    d = docs.select(id_order().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +81,11 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, at_once: int = 64) -> Da
                 for ws in words:
                     ids.append(b"".join(flat[at:at + len(ws)]) + end)
                     at += len(ws)
-                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_ids", "ids"])
+                ranges = np.searchsorted(cuts, part.column("place").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ranges), part.column("place"), part.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "place", "doc_id", "ids"])
 
-    return d.mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return d.mapInArrow(run, "part int, place long, doc_id long, ids binary")
 
 
 # --- the file format ------------------------------------------------------------------------------------------------
@@ -160,16 +162,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     cuts = docs.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], min(1_000_000, 20 * parts))).first()[0] if parts > 1 else []
     cuts = np.array(sorted(set(cuts or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, o.to_numpy(), side="right").astype(np.int32))
-
     if folder is None:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/token-ids-{uuid.uuid4().hex}"
-    d = encode_ids(docs, tokenizer, end_id)
-    d = d.withColumn("part", range_of(order)).select("part", order.alias("_o"), "doc_id", "ids")
-    d = d.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "_o", "ids").drop("_o")
+    d = encode_ids(docs, tokenizer, end_id, cuts)
+    d = d.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "place", "ids").drop("place")
     d.mapInArrow(_chunks, _CHUNK).write.option("compression", "none").parquet(f"{folder}/chunks")
     spark.read.schema(_CHUNK).parquet(f"{folder}/chunks").select("part", "chunk", "n_ids").write.parquet(f"{folder}/index")
     return folder
