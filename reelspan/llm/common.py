@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
@@ -46,8 +47,10 @@ def drop_staged(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, after which Spark removes the shuffle files of jobs that nobody refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second time finds what the first has let go
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def id_order(doc_id: str = "doc_id") -> Column:

@@ -144,10 +144,10 @@ class Chunk:
             a, b = np.zeros(len(order)), np.full(len(order), -1.0)
             for g in range(groups):
                 if (level, g) in answers:
-                    mask, own, shorter = (_unpack(x, kind) for x, kind in zip(answers[level, g], ("<u1", "<f4", "<f4")))
+                    mask, n, context = (_unpack(x, kind) for x, kind in zip(answers[level, g], ("<u1", "<u4", "<u4")))
                     where = order[cuts[g]:cuts[g + 1]]
                     where = where[np.unpackbits(mask, count=len(where)).view(bool)]
-                    a[where], b[where] = own, shorter
+                    a[where], b[where] = shares(n, *np.split(context, 2))
             kept = b[inverse] >= 0
             self.at = self.at[kept]
             self.p[self.at] = a[inverse][kept] + b[inverse][kept] * self.p[self.at]
@@ -232,7 +232,7 @@ def _count_words(table: pa.Table) -> pa.Table:
 
 def kept_contexts(context: np.ndarray, n: np.ndarray, ln_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The divergence test. Sorted distinct pairs: their context, training count and ln of the shorter context's
-    probability. Gives per pair whether its context is kept, its own share and the share of the shorter context."""
+    probability. Gives per pair whether its context is kept, the context's tokens and its distinct next tokens."""
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     of = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
     size, kinds = np.add.reduceat(n, first), np.add.reduceat((n > 0).astype(np.int64), first)
@@ -241,8 +241,13 @@ def kept_contexts(context: np.ndarray, n: np.ndarray, ln_p: np.ndarray) -> tuple
     without = np.maximum(n - 1 - DISCOUNT, 0) / rest + DISCOUNT * rest_kinds / rest * p
     gain = np.where((n > 0) & (size[of] > 1), n * (np.log(np.maximum(without, 1e-300)) - ln_p), 0.0)
     kept = np.add.reduceat(gain, first) >= LEAST_GAIN
-    total = np.maximum(size, 1)
-    return kept[of], np.maximum(n - DISCOUNT, 0) / total[of], (DISCOUNT * kinds / total)[of]
+    return kept[of], size[of], kinds[of]
+
+
+def shares(n: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a pair has of its own in its context's distribution, and how much of the shorter context's is added."""
+    size = np.maximum(size.astype(np.int64), 1)
+    return np.maximum(n.astype(np.int64) - DISCOUNT, 0) / size, DISCOUNT * kinds / size
 
 
 def _grow(level: int):
@@ -252,7 +257,7 @@ def _grow(level: int):
         kinds, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
         ln_p = np.concatenate([_unpack(r["tenths"], "<u1") for r in rows])[first] / -_TENTHS
-        kept, own, shorter = kept_contexts(kinds >> _U(32), n, ln_p)
+        kept, size, nexts = kept_contexts(kinds >> _U(32), n, ln_p)
         out, at = [], 0
         for r, k in zip(rows, keys):
             pair = inverse[at:at + len(k)]
@@ -260,7 +265,7 @@ def _grow(level: int):
             mask = kept[pair]
             if mask.any():
                 pair = pair[mask]
-                out.append((r["chunk"], level, r["g"], _pack(np.packbits(mask)), _pack(own[pair].astype("<f4")), _pack(shorter[pair].astype("<f4")), 0, 0, 0, 0))
+                out.append((r["chunk"], level, r["g"], _pack(np.packbits(mask)), _pack(n[pair].astype("<u4")), _pack(np.concatenate([size[pair], nexts[pair]]).astype("<u4")), 0, 0, 0, 0))
         cols = zip(*out) if out else [()] * len(_ANSWER_KINDS)
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, _ANSWER_KINDS)], names=_ANSWER_NAMES)
 
@@ -335,6 +340,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, ch
         asked = together(_ask_pairs(level, totals, groups), _ASK)
         grown = stage(asked.groupBy("g").applyInArrow(_grow(level), _ANSWER))
         answers = answers.union(grown)
+        del asked, grown
         release(spark)
     out = together(_score(totals, groups), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(t.tokens).cast("long"))

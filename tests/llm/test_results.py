@@ -257,7 +257,8 @@ def test_kept_contexts_stay_distributions():
     """Own shares and what the shorter context gets add up to one."""
     n = np.array([5, 3, 1, 0, 2, 2])
     context = np.array([1, 1, 1, 1, 2, 2], np.uint64)
-    kept, own, shorter = suffix_tree.kept_contexts(context, n, np.log(np.array([0.1, 0.1, 0.1, 0.2, 0.01, 0.01])))
+    kept, size, kinds = suffix_tree.kept_contexts(context, n, np.log(np.array([0.1, 0.1, 0.1, 0.2, 0.01, 0.01])))
+    own, shorter = suffix_tree.shares(n, size, kinds)
     assert kept[:4].all() == kept[0] and kept[4]
     for c in (1, 2):
         assert math.isclose(own[context == c].sum() + shorter[context == c][0], 1.0)
