@@ -81,3 +81,11 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     out = d.where(alive & ~single).unionByName(one)
     out = out.select("row", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)))).alias("_i"))
     return out.select("row.*")
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group, the first by _k1 and _k2. groups: _k1, _k2 (``row_keys``), component of every row."""
+    first = groups.groupBy("component").agg(F.min(F.struct("_k1", "_k2")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    g = groups.join(first, "component")
+    copies = F.max(((F.col("_k1") == F.col("f._k1")) & (F.col("_k2") == F.col("f._k2"))).cast("int"))
+    return keep_rows(docs, g.groupBy("_k1", "_k2").agg(copies.alias("copies"), F.lit(True).alias("single")))

@@ -13,9 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reelspan.llm.common import id_order, row_keys, stage
+from reelspan.llm.common import first_of_groups, id_order, row_keys, stage
 from reelspan.llm.components import components
 
 PERMUTATIONS, WORDS, SIMILARITY, SEED = 128, 5, 0.8, 20240501
@@ -70,9 +71,11 @@ def word_hashes(text: bytes) -> np.ndarray:
     return words_at(text)[0]
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """A 32-bit hash of each shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
-    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+def shingle_hashes(text: str | None, words: int = WORDS, lower: bool = False) -> np.ndarray:
+    """A 32-bit hash of each shingle, repeats included; a text of fewer words is one shingle, one without words has none.
+    ``lower``: A-Z in lower case."""
+    b = (text or "").encode("utf-8", "surrogatepass")
+    w = word_hashes(b.lower() if lower else b)
     if len(w) == 0:
         return w
     k = min(words, len(w))
@@ -84,7 +87,10 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def signature(text: str | None, words: int = WORDS) -> np.ndarray:
     """PERMUTATIONS 32-bit minima; all ones for a text without words."""
-    s = np.unique(shingle_hashes(text, words))
+    return minima(np.unique(shingle_hashes(text, words)))
+
+
+def minima(s: np.ndarray) -> np.ndarray:
     low = np.full(PERMUTATIONS, ~_U(0))
     for at in range(0, len(s), _AT_ONCE):
         low = np.minimum(low, (s[at:at + _AT_ONCE] * A[:, None] + B[:, None]).min(axis=1))
@@ -170,19 +176,24 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def with_signatures(docs: DataFrame) -> DataFrame:
-    """_k1, _k2 (``row_keys``), doc_id, signature and shingles (sorted distinct 32-bit hashes) of every row, both binary."""
-    k1, k2 = row_keys()
-    cols = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    more = (T.StructField("signature", T.BinaryType(), False), T.StructField("shingles", T.BinaryType(), False))
+def _with_sets(docs: DataFrame, keep: tuple[str, ...], lower: bool, shingles: bool) -> DataFrame:
+    """``keep`` of every row, ``class`` (a hash of its set of shingles, 0 for none), its signature and, if asked for, its
+    shingles (sorted distinct 32-bit hashes), both binary."""
+    cols = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    more = [T.StructField("class", T.LongType(), False), T.StructField("signature", T.BinaryType(), False)]
+    more += [T.StructField("shingles", T.BinaryType(), False)] if shingles else []
     schema = T.StructType([*(f for f in cols.schema.fields if f.name != "text"), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            sigs = pa.array([signature(t).tobytes() for t in texts], pa.binary())
-            sets = pa.array([np.unique(shingle_hashes(t)).astype("<u4").tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("_k1", "_k2", "doc_id")), sigs, sets], names=schema.names)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), lower=lower)) for t in part.column("text")]
+                packed = [s.astype("<u4").tobytes() for s in sets]
+                named = [xxhash.xxh64_intdigest(x) - (1 << 63) if x else 0 for x in packed]
+                cols = [pa.array(named, pa.int64()), pa.array([minima(s).tobytes() for s in sets], pa.binary())]
+                cols += [pa.array(packed, pa.binary())] if shingles else []
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *cols], names=schema.names)
 
     return cols.mapInArrow(run, schema)
 
@@ -198,8 +209,9 @@ def _forest(rows: list[tuple[int, np.ndarray, np.ndarray]], similarity: float) -
     sigs = np.stack([r[1] for r in rows])
     out = []
     for i in range(len(rows) - 1):
+        apart = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
         # five standard errors below the threshold an estimate rules the pair out
-        for j in i + 1 + np.flatnonzero((sigs[i + 1:] == sigs[i]).mean(axis=1) >= similarity - 0.18):
+        for j in apart[(sigs[apart] == sigs[i]).mean(axis=1) >= similarity - 0.18] if len(apart) else ():
             if label[i] != label[j] and jaccard(rows[i][2], rows[j][2]) >= similarity:
                 out.append((rows[i][0], rows[j][0]))
                 label[label == label[j]] = label[i]
@@ -208,25 +220,34 @@ def _forest(rows: list[tuple[int, np.ndarray, np.ndarray]], similarity: float) -
     return out
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = 2048) -> DataFrame:
-    """_k1, _k2, doc_id and group_id of every row: the smallest doc_id that links of Jaccard ``similarity`` reach.
+def near_components(docs: DataFrame, similarity: float = SIMILARITY, block: int = 2048, lower: bool = False) -> DataFrame:
+    """_k1, _k2 (``row_keys``), doc_id and component (a long that names it) of every row; links are of Jaccard ``similarity``.
 
     Texts of equal shingle sets are one class. Classes that share a band are compared within the task that gets the
     band's bucket, by signature first and by their shingle sets then; a bucket gives a spanning forest, not its pairs.
-    Buckets above ``block`` classes are cut into blocks, and every two blocks meet in a task. Null ids count as largest
-    (group_id null if there is no other); texts without words are one class, linked to nothing else.
+    Buckets above ``block`` classes are cut into blocks, and every two blocks meet in a task. Only classes that share a
+    band with another have their texts read again for the sets. Texts without words are one class, linked to nothing else.
     """
-    rows = stage(with_signatures(docs).withColumn("class", F.xxhash64("shingles")))
-    classes = stage(rows.groupBy("class").agg(F.min("signature").alias("signature"), F.min("shingles").alias("shingles")))
+    k1, k2 = row_keys()
+    keyed = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stage(_with_sets(keyed, ("_k1", "_k2", "doc_id"), lower, False))
     width = 4 * PERMUTATIONS // BANDS
-    band = lambda i: F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("signature", i * width + 1, width)).alias("key"))
-    keys = classes.where(F.length("shingles") > 0).select("class", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("b")).select("class", "b.*")
-    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # signatures of equal classes are equal
+    classes = rows.where("class <> 0").groupBy("class").agg(F.first("signature").alias("signature"), F.min(F.struct("_k1", "_k2")).alias("one"))
+    classes = stage(classes.select("class", "one", *[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)).alias(f"b{i}") for i in range(BANDS)]))
+    keys = classes.select("class", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = stage(keys.join(sizes, "key"))
+    met = keys.select("class").distinct().join(classes.select("class", "one"), "class")
+    met = stage(met.select(F.col("one._k1").alias("_k1"), F.col("one._k2").alias("_k2")))
+    sets = _with_sets(keyed.join(met, ["_k1", "_k2"]), (), lower, True)
+    sets = stage(sets.groupBy("class").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
+
     n_blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("class", "band"), n_blocks).cast("int")
-    keys = keys.join(sizes, ["band", "key"]).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
-    keys = keys.select("class", "band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    group = ["band", "key", "lo", "hi"]
+    mine = F.pmod(F.xxhash64("class", "key"), n_blocks).cast("int")
+    keys = keys.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), n_blocks - 1))})
+    keys = keys.select("class", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    group = ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -244,8 +265,21 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = 20
             yield out(edges)
         yield out(_forest(held, similarity) if len(held) > 1 else [])
 
-    met = keys.join(classes, "class").repartition(*group).sortWithinPartitions(*group).select(*group, "class", "signature", "shingles")
-    comp = components(met.mapInArrow(run, "a long, b long")).withColumnRenamed("node", "class")
-    named = rows.select("_k1", "_k2", "doc_id", "class").join(comp, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    both = keys.join(sets, "class").repartition(*group).sortWithinPartitions(*group).select(*group, "class", "signature", "shingles")
+    comp = components(both.mapInArrow(run, "a long, b long")).withColumnRenamed("node", "class")
+    named = rows.select("_k1", "_k2", "doc_id", "class").join(comp, "class", "left")
+    return named.select("_k1", "_k2", "doc_id", F.coalesce("component", "class").alias("component"))
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, block: int = 2048) -> DataFrame:
+    """_k1, _k2, doc_id and group_id of every row: the smallest doc_id that links of Jaccard ``similarity`` reach
+    (``near_components``). Null ids count as largest (group_id null if there is no other)."""
+    named = near_components(docs, similarity, block)
     lows = named.groupBy("component").agg(F.min(id_order()).alias("low"))
     return named.join(lows, "component").select("_k1", "_k2", "doc_id", F.when(F.col("low") < (1 << 63) - 1, F.col("low")).alias("group_id"))
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of ``near_components`` (A-Z in lower case): the one with the smallest doc_id
+    (and text hash, should ids repeat). Same columns."""
+    return first_of_groups(docs, near_components(docs, similarity, lower=True))

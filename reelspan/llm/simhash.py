@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from reelspan.llm.common import id_order, keep_rows, row_keys, stage
+from reelspan.llm.common import first_of_groups, id_order, row_keys, stage
 from reelspan.llm.components import components
 
 BITS, RADIUS = 64, 2
@@ -220,8 +220,4 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id (and text hash, should ids repeat). Same columns."""
-    g = near_groups(docs, words)
-    first = g.groupBy("component").agg(F.min(F.struct("_k1", "_k2")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    g = g.join(first, "component")
-    copies = F.max(((F.col("_k1") == F.col("f._k1")) & (F.col("_k2") == F.col("f._k2"))).cast("int"))
-    return keep_rows(docs, g.groupBy("_k1", "_k2").agg(copies.alias("copies"), F.lit(True).alias("single")))
+    return first_of_groups(docs, near_groups(docs, words))

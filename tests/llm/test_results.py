@@ -288,6 +288,25 @@ def test_pipeline_stages(spark, docs, texts):
     assert len(done) == 250 and all(r.restored for r in done)
 
 
+def test_pipeline_drops_near_copies(spark):
+    """All pairs of lower-case Jaccard 0.8 of the second small table, and only those, link documents."""
+    sf = "/root/testdata/sf0.01"
+    docs = corpus_pipeline.drop_copies(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).cache()
+    sets = {}
+    for r in docs.collect():
+        w = words(r.text or "")
+        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    has = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            has[x].append(i)
+    shared = Counter((i, j) for ids in has.values() for i in ids for j in ids if i < j)
+    pairs = {(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    low = reach(sets, lambda i, j: (i, j) in pairs or not (sets[i] or sets[j]))
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert pairs and got == sorted(set(low.values()))
+
+
 def exact_text(text):
     import re
 
