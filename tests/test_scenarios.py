@@ -232,6 +232,16 @@ def test_boundaries(spark):
     assert 20.0 <= b < 20.1
 
 
+def test_minimum_length_across_silence(spark):
+    """The walk for the minimum length goes on behind a long silence, however far the next speech lies."""
+    for at in (30, 100, 1000):
+        a, b = bounds(spark, [(0, 5, "A complete thought."), (at, at + 2, "and then we"), (at + 2.2, at + 4, "found it.")], (0, 5), at + 50)
+        assert (a, b) == (max(0, round(at + 4.45 - 48, 2)), at + 4.45)
+    # the target lies in an utterance that ends far off
+    _, b = bounds(spark, [(0, 5, "A complete thought."), (6, 90, "one long line without an end"), (90.2, 92, "and its end.")], (0, 5), 200)
+    assert b == 92.45
+
+
 def test_cliffhanger_boundaries(spark):
     _, b = bounds(spark, [(0, 7, "setup"), (7.1, 14, "почему эта задача вообще пугает"), (14.1, 32, "а теперь полный ответ и объяснение.")], (1, 31), 80,
                   cliffhanger_min_duration_sec=10, cliffhanger_preferred_duration_sec=14, cliffhanger_max_duration_sec=18, **CLIFF)
