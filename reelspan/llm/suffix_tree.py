@@ -30,7 +30,7 @@ from reelspan.session import ensure_checkpoint_dir
 
 #: Longest context, nats a context must gain, discount of its counts, tokens of a chunk, chunks (of six bytes a token) to
 #: a group.
-DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP = 2, 2.0, 0.75, 1 << 20, 4
+DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP = 3, 2.0, 0.75, 1 << 20, 4
 _U = np.uint64
 END, BEGIN, _STEP = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179), _U(0xC2B2AE3D27D4EB4F)
 #: ln p is sent in tenths for the divergence test only; scores use it in full.

@@ -253,6 +253,14 @@ def test_suffix_tree_equals_dictionaries(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_suffix_tree_keeps_three_words(spark):
+    """What follows x y depends on the word before them."""
+    texts = [(i, ("a x y p " if i % 2 else "b x y q ") * 5 + "c z y r " * 5) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got, short = ({r.doc_id: r.score for r in suffix_tree.score(df, **k).collect()} for k in ({}, {"depth": 2}))
+    assert all(got[i] > short[i] + 1 for i in got)
+
+
 def test_kept_contexts_stay_distributions():
     """Own shares and what the shorter context gets add up to one."""
     n = np.array([5, 3, 1, 0, 2, 2])
