@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, licenses, minhash, mixing, simhash, suffix_tree, token_files, toxicity
+from reelspan.llm import bpe, chat, exact, licenses, minhash, mixing, prefix_counts, simhash, suffix_tree, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -124,3 +124,13 @@ def as_files(docs: DataFrame) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, as a file of a tree, with its own or inherited license."""
     return licenses.scan(as_files(table(spark, sf, "documents")))
+
+
+@query()
+def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens, whether they are over 2,048, and how many code points of it fit into 2,048 tokens; all
+    read off the counts at its prefixes."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    d = prefix_counts.prefix_counts(d, vocabulary("word_bpe_49k.json"))
+    n = prefix_counts.tokens_of(F.col("counts"))
+    return d.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"), prefix_counts.longest_within(F.col("counts"), 2048).alias("fitting_chars"))
