@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import bpe, chat, exact, licenses, minhash, mixing, prefix_counts, simhash, suffix_tree, token_files, toxicity
+from reelspan.llm import alignment, bpe, chat, exact, licenses, minhash, mixing, prefix_counts, simhash, suffix_tree, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -134,3 +134,11 @@ def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = prefix_counts.prefix_counts(d, vocabulary("word_bpe_49k.json"))
     n = prefix_counts.tokens_of(F.col("counts"))
     return d.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"), prefix_counts.longest_within(F.col("counts"), 2048).alias("fitting_chars"))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, the groups they form, and how usual their linked pairs are in all documents."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = alignment.align(d, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), word_pattern(), digest=True)
+    return d.withColumnRenamed("groups", "groups_sha256")
