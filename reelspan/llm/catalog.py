@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from reelspan.llm import alignment, bpe, chat, exact, licenses, minhash, mixing, prefix_counts, simhash, suffix_tree, token_files, toxicity
+from reelspan.llm import alignment, bpe, chat, exact, licenses, minhash, mixing, prefix_counts, simhash, spelling, suffix_tree, token_files, toxicity
 from reelspan.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -142,3 +142,9 @@ def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
     d = alignment.align(d, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), word_pattern(), digest=True)
     return d.withColumnRenamed("groups", "groups_sha256")
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frequent word of the documents with its near words' number, the form it varies and the root of its forms."""
+    return spelling.variants(table(spark, sf, "documents"), misspell=31)
