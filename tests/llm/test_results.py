@@ -286,9 +286,6 @@ def test_pipeline_stages(spark, docs, texts):
         first.setdefault(exact_text(by_id[i].text), i)
     assert sorted(r.doc_id for r in out.collect()) == sorted(first.values()) and out.columns == docs.columns
     some = docs.where("doc_id < 250")
-    low = reach([i for i in by_id if i < 250], lambda i, j, f={i: own_fingerprint(by_id[i].text, 5) for i in by_id if i < 250}: (f[i] ^ f[j]).bit_count() <= 2)
-    out = corpus_pipeline.drop_near_copies(spark, some, sf)
-    assert sorted(r.doc_id for r in out.collect()) == sorted(set(low.values())) and out.columns == docs.columns
     out = corpus_pipeline.mix_sources(spark, some, sf)
     copies = {r.doc_id: r.copies for r in mixing.mixed_sizes(some).collect()}
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: c for i, c in copies.items() if c}) and out.columns == docs.columns
