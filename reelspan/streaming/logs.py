@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelspan.operators import events as ev
-from reelspan.operators.ranking import latest_per_key
+from reelspan.streaming.versioned import VersionedTable
 
 
 def read_log(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def latest_decisions(feedback: DataFrame) -> DataFrame:
     """Running latest decision per candidate. Late rows lose by event time, not by arrival.
 
     State is one row per candidate and has no expiry: an old decision stays
-    valid until a newer one comes.
+    valid until a newer one comes. ``expiring.expiring_decisions`` bounds the state by time.
     """
     d = feedback.where(F.size(ev.feedback_violations()) == 0).where(ev.is_decision())
     d = d.withColumn("candidate_key", ev.candidate_key())
@@ -44,40 +44,33 @@ def latest_captures(metrics: DataFrame) -> DataFrame:
     ).select("project_id", "candidate_key", "platform", "publication", "c.*")
 
 
-def upsert_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write the changed keys of every micro-batch below ``path``.
+def upsert_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], compact_every: int = 8, available_now: bool = True) -> StreamingQuery:
+    """Keep a ``VersionedTable`` at the newest row per key.
 
-    In update mode a batch holds only keys that changed, so the cost of a batch
-    follows its changes, not the size of the table. Each batch owns the folder
-    ``batch=<id>``; a replay overwrites the same folder. ``current_table`` reads
-    the newest row per key, ``compact_table`` folds the history into one copy.
-    Path and checkpoint belong on shared storage.
+    In update mode a batch holds only keys that changed, so the cost of a batch follows its changes, not the size of the
+    table; every ``compact_every`` batches it also rewrites the snapshot. Path and checkpoint belong on shared storage.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    w = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    table = VersionedTable(stream.sparkSession, path, keys, compact_every)
+    w = stream.writeStream.outputMode("update").foreachBatch(lambda batch, i: table.commit(batch, i)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 def current_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row per key over all batches."""
-    return latest_per_key(spark.read.parquet(path), [F.col(k) for k in keys], [F.desc("batch")]).drop("batch")
+    """Newest row per key, from the snapshot and the batches since."""
+    return VersionedTable(spark, path, keys).read()
 
 
-def compact_table(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
-    """Write the current rows to ``target`` as batch -1, below any later batch copied there."""
-    current_table(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def analyze_arrivals(transcripts: DataFrame, analyse, path: str, checkpoint: str, compact_every: int = 8, available_now: bool = True) -> StreamingQuery:
+    """Analyse transcripts as files arrive and replace the results of the projects each batch touches.
 
+    ``analyse(batch)`` gives rows with project_id, and the project_ids it has looked at. The rows become one generation of a ``VersionedTable``: new files first, then
+    one manifest that points to them. Readers take whole generations; a replayed batch leaves the same table.
+    """
+    table = VersionedTable(transcripts.sparkSession, path, ["project_id"], compact_every)
 
-def analyze_arrivals(transcripts: DataFrame, analyse, checkpoint: str) -> StreamingQuery:
-    """Run ``analyse(batch, batch_id)`` over transcripts as files arrive.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows, projects = analyse(batch)
+        table.commit(rows, batch_id, touched=projects)
 
-    ``analyse`` must replace whole projects (see ``sinks.replace_projects``); then
-    a replayed batch leaves the same result.
-    """
-    return (
-        transcripts.writeStream.foreachBatch(analyse).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    w = transcripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()

@@ -11,7 +11,6 @@ from reelspan.operators import features as ft, learning as ln
 from reelspan.params import ClipParams, LearningParams
 from reelspan.plans import training as tr
 from reelspan.sources import files as fl, sinks
-from reelspan.streaming import logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,24 +126,6 @@ def test_replace_projects_rewrites_only_touched_buckets(spark, tmp_path):
         assert sorted((r.project_id, r.id) for r in spark.read.parquet(path).collect()) == [("p1", "b"), ("p1", "n"), ("p2", "c")]
 
 
-def test_stream_equals_batch_with_late_rows(spark, tmp_path):
-    src, schema = str(tmp_path / "in"), "id long, project_id long, clip_id long, moment_id long, action string, user_rating int, created_at timestamp"
-    def put(data):
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
-    import datetime as dt
-    at = lambda h: dt.datetime(2024, 1, 1, h)
-    put([(1, 1, 1, 1, "accept", None, at(5)), (2, 1, 2, None, "reject", None, at(6))])
-    run = lambda: logs.upsert_table(logs.latest_decisions(logs.read_log(spark, src, schema)), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    run()
-    put([(3, 1, 1, 1, "reject", None, at(4)), (4, 1, 2, None, "accept", None, at(7)), (5, 1, 3, 3, "rendered", None, at(9)), (6, 1, 4, 4, "accept", 1, at(9))])
-    run()
-    keys = ["project_id", "candidate_key"]
-    logs.compact_table(spark, str(tmp_path / "t"), keys, str(tmp_path / "compact"))
-    for place in ("t", "compact"):
-        got = {(r.candidate_key, r.id) for r in logs.current_table(spark, str(tmp_path / place), keys).collect()}
-        assert got == {(1, 1), (2, 4)}  # the late reject loses, rendered and rule-breaking rows never count
-
-
 @pytest.mark.parametrize("name", ["latest_decisions", "list_clips", "candidate_windows", "interval_text", "promo_overlap", "clip_boundaries", "neighbour_pairs", "inherited_speakers",
                                   "type_preferences", "ranker_summary", "personal_ranking", "project_activity", "selection_summary"])
 def test_plans_have_no_nested_loops_and_no_python(spark, name):
