@@ -89,7 +89,7 @@ def feedback_count(spark, sf):
 @query(f"""WITH {METRICS}, ok AS (SELECT CASE WHEN retention_percent BETWEEN 0 AND 100 THEN retention_percent END AS kept,
   avg_watch_time_sec, views FROM metrics)
  SELECT count(kept) AS samples_with_retention, {r('avg(kept)')} AS average_retention_percent,
- {r('median(round(kept, 4))')} AS median_retention_percent, {r('avg(avg_watch_time_sec)')} AS average_watch_time_sec,
+ {r('median(kept)')} AS median_retention_percent, {r('avg(avg_watch_time_sec)')} AS average_watch_time_sec,
  {r('avg(views)')} AS average_views FROM ok""")
 def retention_summary(spark, sf):
     return ln.retention_summary(ad.publish_metrics(spark, sf))

@@ -99,28 +99,61 @@ def labeled_training_rows(spark, sf):
     return labeled_rows(d, FIX).select("id", "label", "features.moment_type", "features.base_score", "retention_percent")
 
 
-_P = "CAST((id * 37) % 100 AS DOUBLE) / 100 + 0.005::DOUBLE"
-
-
-@query(f"""WITH {FEATURES}, s AS (SELECT label AS y, {_P} AS p, 0.4::DOUBLE + (id % 5) / 20.0::DOUBLE AS b FROM feats)
- SELECT count(*) AS validation_rows, {r('(avg(CAST(p >= 0.5 AS INT)) FILTER (y = 1) + avg(CAST(p < 0.5 AS INT)) FILTER (y = 0)) / 2', 4)} AS balanced_accuracy,
-  {r('avg((p - y) * (p - y))', 4)} AS brier_score, {r('avg((b - y) * (b - y))', 4)} AS baseline_brier_score,
-  {r('-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END)', 4)} AS log_loss FROM s""")
+FOLDS = FEATURES + """, pr AS (SELECT project_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM feats GROUP BY 1),
+facts AS (SELECT least(5, count(*) FILTER (p > 0), count(*) FILTER (n > 0)) AS k, count(*) FILTER (p > 0 AND n > 0) AS shared FROM pr),
+dealt AS (SELECT project_id, CASE WHEN p > 0 AND n > 0 THEN 0 WHEN p > 0 THEN 1 ELSE 2 END AS kind, length(bin(p + n)) AS size FROM pr),
+turns AS (SELECT project_id, row_number() OVER (PARTITION BY kind ORDER BY size DESC, md5(CAST(project_id AS VARCHAR)), project_id) - 1 + CASE WHEN kind = 0 THEN 0 ELSE shared END AS turn, k FROM dealt, facts),
+folds AS (SELECT project_id, CAST(turn % k AS INT) AS fold FROM turns WHERE k >= 2)"""
+_OTHERS = """, own AS (SELECT *, count(*) OVER () AS n_all, count(*) FILTER (label = 1) OVER () AS p_all, count(*) OVER (PARTITION BY fold) AS n_f, count(*) FILTER (label = 1) OVER (PARTITION BY fold) AS p_f,
+  count(*) OVER (PARTITION BY moment_type) AS n_t, count(*) FILTER (label = 1) OVER (PARTITION BY moment_type) AS p_t,
+  count(*) OVER (PARTITION BY fold, moment_type) AS n_ft, count(*) FILTER (label = 1) OVER (PARTITION BY fold, moment_type) AS p_ft FROM feats JOIN folds USING (project_id)),
+s0 AS (SELECT label AS y, (p_all - p_f) / (n_all - n_f)::DOUBLE AS b, p_t - p_ft AS tp, n_t - n_ft AS tn FROM own), s AS (SELECT y, b, (tp + 4 * b) / (tn + 4) AS p FROM s0),
+auc AS (SELECT (SELECT sum(CASE WHEN a.p > c.p THEN 1.0 WHEN a.p = c.p THEN 0.5 ELSE 0 END) / count(*) FROM (SELECT p FROM s WHERE y = 1) a, (SELECT p FROM s WHERE y = 0) c) AS auc)"""
+
+
+@query(f"""WITH {FOLDS}{_OTHERS}, m AS (SELECT count(*) AS validation_rows, {r('(avg(CAST(p >= 0.5 AS INT)) FILTER (y = 1) + avg(CAST(p < 0.5 AS INT)) FILTER (y = 0)) / 2', 4)} AS balanced_accuracy,
+  avg((p - y) * (p - y)) AS brier, avg((b - y) * (b - y)) AS base, -avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS loss FROM s)
+ SELECT validation_rows, balanced_accuracy, {r('brier', 4)} AS brier_score, {r('base', 4)} AS baseline_brier_score, {r('loss', 4)} AS log_loss, {r('auc', 4)} AS roc_auc,
+  brier < base - 1e-6 AND auc > 0.5 AS passed, CASE WHEN brier < base - 1e-6 AND auc > 0.5 THEN 'passed' ELSE 'below_baseline' END AS status FROM m, auc""")
 def validation_metrics(spark, sf):
-    i = F.col("id")
-    d = rows(spark, sf).withColumns({
-        "model_probability": ((i * 37) % 100).cast("double") / 100 + 0.005, "baseline": F.lit(0.4) + (i % 5) / 20.0})
-    one = d.agg(*ln.metric_columns())
-    return one.select("validation_rows", "balanced_accuracy", *[round_to(F.col(c), 4).alias(c) for c in ("brier_score", "baseline_brier_score", "log_loss")])
+    """Each row scored by the accept rate of its moment type in the other folds, judged by the rule for models."""
+    d = rows(spark, sf)
+    folds, _ = ln.fold_map(d)
+    m = ln.validation_metrics(cut_lineage(ln.out_of_fold_rates(d, folds)))
+    return m.select("validation_rows", "balanced_accuracy", *[round_to(F.col(c), 4).alias(c) for c in ("brier_score", "baseline_brier_score", "log_loss")],
+                    "roc_auc", "passed", "status")
 
 
-@query()
+@query(f"WITH {FOLDS} SELECT project_id, fold FROM folds")
 def validation_folds(spark, sf):
     """Projects per fold; none is split, every training part sees both labels."""
     split = ln.fold_map(rows(spark, sf))
     return split[0] if split else spark.createDataFrame([], "project_id string, fold int")
 
 
+@query(f"""WITH {FOLDS}, f AS (SELECT fold, count(*) AS validation_rows, count(DISTINCT project_id) AS validation_projects FROM feats JOIN folds USING (project_id) GROUP BY 1)
+ SELECT fold, CAST(sum(validation_rows) OVER () - validation_rows AS BIGINT) AS training_rows, validation_rows,
+  CAST(sum(validation_projects) OVER () - validation_projects AS BIGINT) AS training_projects, validation_projects FROM f""")
+def fold_report(spark, sf):
+    d = rows(spark, sf)
+    return ln.fold_report(d, *ln.fold_map(d))
+
+
+@query(f"""WITH {FOLDS} SELECT CAST(i AS INT) AS fold, project_id, CASE WHEN i = fold THEN 'validation' ELSE 'training' END AS part
+ FROM folds, facts, unnest(range(k)) AS u(i)""")
+def fold_membership(spark, sf):
+    """Who trains and who is held out in each fold."""
+    return ln.fold_membership(*ln.fold_map(rows(spark, sf)))
+
+
+@query()
+def model_validation(spark, sf):
+    """The preference model itself, fitted on the other folds, by the same metrics."""
+    d = rows(spark, sf)
+    folds, k = ln.fold_map(d)
+    return ln.validation_metrics(ln.out_of_fold_model(d, cut_lineage(folds), k))
+
+
 @query()
 def model_scores(spark, sf):
     """Fit on all labelled rows, score the same rows."""

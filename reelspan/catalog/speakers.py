@@ -43,7 +43,7 @@ def speaker_centroids(spark, sf):
     return d.select("project_id", "speaker", "i", round_to(F.col("x"), 5).alias("x"))
 
 
-@query(f"""WITH {EMB}, d AS (SELECT i.project_id, i.truth AS speaker, round(1 - list_dot_product(u, centroid), 4) AS d FROM items i JOIN cents c ON c.project_id = i.project_id AND c.speaker = i.truth)
+@query(f"""WITH {EMB}, d AS (SELECT i.project_id, i.truth AS speaker, 1 - list_dot_product(u, centroid) AS d FROM items i JOIN cents c ON c.project_id = i.project_id AND c.speaker = i.truth)
  SELECT project_id, speaker, {r('least(0.82, greatest(0.319, quantile_cont(d, 0.95) + 0.08))', 4)} AS "limit" FROM d GROUP BY ALL""")
 def assignment_limits(spark, sf):
     items, labels = _labelled(spark, sf)

@@ -6,35 +6,34 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.functions import scoring as sc, text as tx
 from reelspan.lexicon import DEFAULT, MODEL_REASON, MODEL_SPEC, ONLINE_REASON, Lexicon
 from reelspan.operators import events as ev
 from reelspan.operators.features import NUMERIC, with_features
+from reelspan.operators.quantiles import exact_quantiles
+from reelspan.operators.scan import running
 from reelspan.params import LearningParams
-
-#: Ways to deal projects into folds that are tried for each number of folds.
-FOLD_SALTS = 32
+from reelspan.session import cut_lineage
 
 
 def retention_summary(rows: DataFrame) -> DataFrame:
-    """Counts and means over observed values. The median is taken over values in
-    steps of 0.0001, which bounds its state to a million distinct entries."""
+    """Counts and means over observed values, and the exact median of the retention values."""
     r = F.col("retention_percent")
     d = rows.select(*[ev.metric_value(n).alias(n) for n in ev.METRIC_NAMES])
+    middle = exact_quantiles(d, [], "retention_percent", {"m": 0.5}).agg(F.max("m")).scalar()
 
     def mean(n: str) -> Column:
         return F.coalesce(tx.round2(F.avg(n)), F.lit(0.0))
 
     return d.agg(
         F.count(r).alias("samples_with_retention"), mean("retention_percent").alias("average_retention_percent"),
-        F.coalesce(tx.round2(F.median(F.round(r, 4))), F.lit(0.0)).alias("median_retention_percent"),
         mean("avg_watch_time_sec").alias("average_watch_time_sec"), mean("views").alias("average_views"),
-    )
+    ).select("samples_with_retention", "average_retention_percent", F.coalesce(tx.round2(middle), F.lit(0.0)).alias("median_retention_percent"),
+             "average_watch_time_sec", "average_views")
 
 
 def training_readiness(rows: DataFrame, min_feedback: int = 12) -> DataFrame:
@@ -186,61 +185,111 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return d.select(*keep, F.when(fine, F.get("_p", F.lit(1))).alias("model_probability"))
 
 
-def _fold(salt: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64("project_id", salt), F.lit(k)).cast("int")
-
+def fold_map(rows: DataFrame, most: int = 5) -> tuple[DataFrame, int] | None:
+    """(project_id, fold) with projects undivided and both classes in every training part; None if there is no such split
+    or a row has no project.
 
-def fold_map(rows: DataFrame) -> tuple[DataFrame, int] | None:
-    """(project_id, fold) with projects undivided and both classes in every training part.
-
-    None if a row has no project or no admissible split is found. Projects are dealt by a salted hash; of FOLD_SALTS
-    salts, all counted in one pass, the admissible one with the smallest largest fold is taken. A project's fold so
-    depends on its name and the salt alone, at any number of projects, and nothing is sorted.
+    Projects are dealt out in turn: those with both classes first, after them, from the same next fold on, those with
+    positives only and those with negatives only; of each kind the larger ones (by powers of two of their rows) first,
+    equals by a hash of their name. With k folds, and at least k projects that have a class, the projects of a class hold
+    successive turns: each fold gets one, and no fold all. Of each kind and size the folds' shares differ by one project.
+    Turns are counted in two levels, per block of hashes and over the blocks, whose number is bounded.
     """
     groups = rows.groupBy("project_id").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
     )
-    total, nulls, with_p, with_n = groups.agg(
-        F.count("*"), F.count_if(F.col("project_id").isNull()), F.count_if(F.col("p") > 0), F.count_if(F.col("n") > 0)
+    nulls, with_p, with_n, both = groups.agg(
+        F.count_if(F.col("project_id").isNull()), F.count_if(F.col("p") > 0), F.count_if(F.col("n") > 0),
+        F.count_if((F.col("p") > 0) & (F.col("n") > 0)),
     ).first()
-    if total == 0 or nulls:
+    k = min(most, with_p, with_n)
+    if nulls or k < 2:
         return None
-    for k in range(min(5, with_p, with_n), 1, -1):
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FOLD_SALTS - 1))))
-        per_fold = salted.groupBy("salt", _fold(F.col("salt"), k).alias("fold")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        all_p, all_n = (F.sum(c).over(Window.partitionBy("salt")) for c in ("p", "n"))
-        per_fold = per_fold.withColumn("ok", (all_p > F.col("p")) & (all_n > F.col("n")))
-        best = per_fold.groupBy("salt").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("folds"), F.max(F.col("p") + F.col("n")).alias("largest"))
-        salt = best.where(F.col("ok") & (F.col("folds") == k)).orderBy("largest", "salt").first()
-        if salt:
-            return groups.select("project_id", _fold(F.lit(salt.salt), k).alias("fold")), k
-    return None
-
-
-def evaluate(rows: DataFrame, p: LearningParams = LearningParams()) -> dict:
-    """Out-of-fold metrics over held-out projects and the activation rule."""
-    split = fold_map(rows)
-    if split is None:
-        return {"status": "insufficient_projects", "passed": False, "folds": 0}
-    folds, k = split
+    kind = F.when((F.col("p") > 0) & (F.col("n") > 0), 0).when(F.col("p") > 0, 1).otherwise(2)
+    name = F.md5(F.col("project_id").cast("string").cast("binary"))
+    d = groups.select("project_id", kind.alias("kind"), (-F.length(F.bin(F.col("p") + F.col("n")))).alias("size"), name.alias("name"))
+    block = ((F.col("size") + 64) * 256 + F.conv(F.left("name", F.lit(2)), 16, 10).cast("int"))
+    d = running(d, ["kind"], ["size", "name", "project_id"], block, {"turn": ("sum", F.lit(1))})
+    turn = F.col("turn") + F.when(F.col("kind") == 0, 0).otherwise(both)
+    return d.select("project_id", (turn % k).cast("int").alias("fold")), k
+
+
+def fold_membership(folds: DataFrame, k: int) -> DataFrame:
+    """(fold, project_id, part): every project once per fold, in its training or its validation part."""
+    d = folds.select("project_id", F.col("fold").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    return d.select("fold", "project_id", F.when(F.col("fold") == F.col("_own"), "validation").otherwise("training").alias("part"))
+
+
+def fold_report(rows: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """Per fold the rows and projects of its training and validation part; a fold's rows are counted once."""
+    own = rows.join(folds, "project_id").groupBy("fold").agg(
+        F.count("*").alias("validation_rows"), F.countDistinct("project_id").alias("validation_projects"))
+    rows_, projects = own.agg(F.sum("validation_rows")).scalar(), own.agg(F.sum("validation_projects")).scalar()
+    return own.select("fold", (rows_ - F.col("validation_rows")).alias("training_rows"), "validation_rows",
+                      (projects - F.col("validation_projects")).alias("training_projects"), "validation_projects")
+
+
+def out_of_fold_rates(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """``rows`` with fold, baseline (share of positives) and model_probability (that share per moment type, drawn to the
+    baseline by four rows), all from the other folds: one count per fold and type, less a fold's own."""
+    d = rows.join(folds, "project_id").withColumn("_type", F.col("features.moment_type"))
+    own = d.groupBy("fold", "_type").agg(F.count_if(F.col("label") == 1).alias("p"), F.count("*").alias("n"))
+
+    def others(keys: list[str]) -> DataFrame:
+        """Counts of the other folds per fold and ``keys``."""
+        every = own.groupBy(*keys).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+        mine = own.groupBy("fold", *keys).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        return mine.join(every, keys) if keys else mine.join(F.broadcast(every), how="cross")  # one row
+
+    base = others([]).select("fold", ((F.col("_p") - F.col("p")) / (F.col("_n") - F.col("n"))).alias("baseline"))
+    kinds = others(["_type"]).join(base, "fold")
+    rate = (F.col("_p") - F.col("p") + 4 * F.col("baseline")) / (F.col("_n") - F.col("n") + 4)
+    kinds = kinds.select("fold", "_type", "baseline", rate.alias("model_probability"))
+    return d.join(kinds, ["fold", "_type"]).drop("_type")
+
+
+def out_of_fold_model(rows: DataFrame, folds: DataFrame, k: int, p: LearningParams = LearningParams()) -> DataFrame:
+    """project_id, label, fold, baseline and model_probability of every row, by the model of the other folds."""
     d = rows.join(folds, "project_id").cache()
     try:
-        parts, reports = [], []
+        scored = None
         for fold in range(k):
             train, test = d.where(F.col("fold") != fold), d.where(F.col("fold") == fold)
             train = with_sample_weights(train, p.min_metrics)
-            prior, n_train = train.agg(F.avg("label"), F.count("*")).first()
-            scored = predict(fit_model(train), test).withColumn("baseline", F.lit(float(prior)))
-            parts.append(scored.select("project_id", "label", "fold", "baseline", "model_probability"))
-            reports.append({"fold": fold + 1, "training_rows": n_train, "validation_rows": test.count()})
-        scored = parts[0]
-        for part in parts[1:]:
-            scored = scored.unionByName(part)
-        return {**validation_metrics(scored), "method": "stratified_group_kfold", "folds": k, "fold_reports": reports}
+            prior = train.agg(F.avg("label")).first()[0]
+            part = predict(fit_model(train), test).withColumn("baseline", F.lit(float(prior)))
+            part = part.select("project_id", "label", "fold", "baseline", "model_probability")
+            scored = part if scored is None else scored.unionByName(part)
+        return cut_lineage(scored)
     finally:
         d.unpersist()
 
 
+def evaluate(rows: DataFrame, p: LearningParams = LearningParams()) -> dict:
+    """Out-of-fold metrics over held-out projects, the activation rule, and each fold's counts."""
+    split = fold_map(rows)
+    if split is None:
+        return {"status": "insufficient_projects", "passed": False, "folds": 0}
+    folds, k = cut_lineage(split[0]), split[1]
+    m = validation_metrics(out_of_fold_model(rows, folds, k, p)).first().asDict()
+    reports = [{**r.asDict(), "fold": r.fold + 1} for r in fold_report(rows, folds, k).orderBy("fold").collect()]  # at most 5 rows
+    return {**m, "method": "stratified_group_kfold", "folds": k, "fold_reports": reports}
+
+
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "model_probability") -> DataFrame:
+    """One row, roc_auc: the share of (positive, negative) pairs the score puts in order, equal scores counting half; null
+    without both classes.
+
+    A rank sum over counts per score: negatives below each score come from running counts in two levels, within blocks
+    of scores in [0, 1] and over the blocks. Rows without a score take no part.
+    """
+    c = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    c = running(c.withColumn("_all", F.lit(0)), ["_all"], ["s"], F.floor(F.col("s") * 65_536), {"below": ("sum", F.col("n"))})
+    pairs = F.sum("p").cast("double") * F.sum("n")
+    return c.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+
+
 def metric_columns() -> list[Column]:
     """Aggregates over (label, model_probability, baseline)."""
     y, p = F.col("label"), F.col("model_probability")
@@ -255,20 +304,13 @@ def metric_columns() -> list[Column]:
     ]
 
 
-def validation_metrics(scored: DataFrame) -> dict:
-    scored = scored.cache()
-    try:
-        m = scored.agg(*metric_columns()).first().asDict()
-        auc = BinaryClassificationEvaluator(
-            rawPredictionCol="model_probability", labelCol="label", metricName="areaUnderROC", numBins=0
-        ).evaluate(scored)
-    finally:
-        scored.unpersist()
-    passed = m["brier_score"] < m["baseline_brier_score"] - 1e-6 and auc > 0.5
-    return {
-        "status": "passed" if passed else "below_baseline", "passed": passed, "roc_auc": round(auc, 4),
-        **{k: (round(v, 6) if isinstance(v, float) else v) for k, v in m.items()},
-    }
+def validation_metrics(scored: DataFrame) -> DataFrame:
+    """One row of metrics over (label, model_probability, baseline), with the rule: better than the baseline, and in order."""
+    auc = roc_auc(scored).scalar()
+    m = scored.agg(*metric_columns()).withColumn("roc_auc", auc)
+    passed = (F.col("brier_score") < F.col("baseline_brier_score") - 1e-6) & (F.col("roc_auc") > 0.5)
+    m = m.withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("status", F.when(F.col("passed"), "passed").otherwise("below_baseline"))
+    return m.withColumns({"roc_auc": tx.round_to(F.col("roc_auc"), 4), **{c: F.round(c, 6) for c in ("brier_score", "baseline_brier_score", "log_loss")}})
 
 
 def personal_ranking(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reelspan.functions import text as tx
 from reelspan.operators.intervals import overlap_join, overlap_seconds, point_join
+from reelspan.operators.quantiles import exact_quantiles
 from reelspan.operators.scan import running
 from reelspan.params import SpeakerParams
 from reelspan.session import cut_lineage
@@ -116,20 +117,15 @@ def centroids(items: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def assignment_limits(items: DataFrame, labels: DataFrame, cents: DataFrame, p: SpeakerParams = SpeakerParams()) -> DataFrame:
-    """Largest distance still accepted per voice: 95th percentile + 0.08, clamped.
-
-    Distances enter in steps of 0.0001: at most 20,001 distinct values per
-    group, so the exact percentile has bounded state for any group size.
-    """
+    """Largest distance still accepted per voice: 95th percentile + 0.08, clamped. The percentile is exact."""
     d = (
         items.select("project_id", "pos", unit(F.col("embedding")).alias("u"))
         .join(labels, ["project_id", "pos"]).join(cents, ["project_id", "speaker"])
-        .withColumn("_d", F.round(distance(F.col("u"), F.col("centroid")), 4))
+        .select("project_id", "speaker", distance(F.col("u"), F.col("centroid")).alias("_d"))
     )
     low = max(0.28, p.distance_threshold * 1.45)
-    return d.groupBy("project_id", "speaker").agg(
-        F.least(F.lit(0.82), F.greatest(F.lit(low), F.percentile("_d", F.lit(0.95)) + 0.08)).alias("limit")
-    )
+    return exact_quantiles(d, ["project_id", "speaker"], "_d", {"q": 0.95}).select(
+        "project_id", "speaker", F.least(F.lit(0.82), F.greatest(F.lit(low), F.col("q") + 0.08)).alias("limit"))
 
 
 def nearest_speaker(items: DataFrame, cents: DataFrame) -> DataFrame:
