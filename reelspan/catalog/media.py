@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from reelspan.catalog import sql as S
 from reelspan.catalog.sql import r
+from reelspan.catalog.text import mended
 from reelspan.functions import media as md
 from reelspan.functions.text import round_to
+from reelspan.session import ensure_checkpoint_dir
 from reelspan.sources import adapters as ad, files as fl
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +96,38 @@ def render_quality(spark, sf):
         F.when(e.startswith("missing video"), "video").when(e.startswith("unexpected"), "canvas").when(e.startswith("video stream"), "short")
         .when(e.startswith("video has"), "frames").when(e.startswith("missing audio"), "audio").otherwise("audio length")))
     return d.select("id", "ok", F.array_join(kind, ",").alias("kinds"))
+
+
+# Every third recording was decoded wrongly once; a recording comes in documents of 64 segments.
+_FILES = f"""WITH {S.SEGMENTS}, hexed AS (SELECT project_id, pos, "start", "end", speaker, text AS whole, hex(encode(text)) AS h FROM segments),
+src AS (SELECT {{'p': project_id, 'i': pos}} AS k, CASE WHEN project_id % 3 = 0
+  THEN array_to_string(list_transform(range(1, length(h), 2), lambda i: chr(CAST('0x' || substr(h, i, 2) AS INT))), '') ELSE whole END AS text FROM hexed),
+{mended('src', 'k')}"""
+
+
+@query(_FILES + f""" SELECT CAST(k.p AS VARCHAR) AS project_id, k.i AS pos, {r('"start"', 4)} AS "start", {r('"end"', 4)} AS "end", speaker, md5(repaired) AS text, mended.text <> repaired AS changed
+ FROM mended JOIN segments g ON g.project_id = k.p AND g.pos = k.i""")
+def transcript_files(spark, sf):
+    """Recordings written as JSON documents and read back by segment, damaged text mended."""
+    d = fl.segment_rows(fl.scan_transcripts(spark, _written(spark, sf), lines=True))
+    return d.select("project_id", "pos", round_to(F.col("start"), 4).alias("start"), round_to(F.col("end"), 4).alias("end"), "speaker",
+                    F.md5(F.col("text").cast("binary")).alias("text"), "changed")
+
+
+@query(_FILES + f""" SELECT CAST(k.p AS VARCHAR) AS project_id, count(*) AS segments, {r('max("end")', 4)} AS duration, bool_or(mended.text <> repaired) AS text_changed
+ FROM mended JOIN segments g ON g.project_id = k.p AND g.pos = k.i GROUP BY 1""")
+def transcript_documents(spark, sf):
+    """Per recording what its documents hold, and whether any text had to be mended."""
+    d = fl.transcript_documents(fl.segment_rows(fl.scan_transcripts(spark, _written(spark, sf), lines=True)))
+    return d.select("project_id", "segments", round_to(F.col("duration"), 4).alias("duration"), "text_changed")
+
+
+def _written(spark, sf) -> str:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/transcripts-{uuid.uuid4().hex}"
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    d = ad.segments(spark, sf).withColumn("text", F.when(F.col("project_id") % 3 == 0, wrong).otherwise(F.col("text")))
+    d = d.groupBy(F.col("project_id").cast("string").alias("project_id"), F.floor(F.col("pos") / 64).alias("part")).agg(
+        F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text", "speaker"))).alias("segments"))
+    d.write.json(folder)
+    return folder

@@ -43,13 +43,19 @@ def _bytes_as_utf8(x: str) -> str:
 
 
 # Text without any marker scores 0 and stays as it is, so only marked text needs its candidates.
-_MOJI = f"""WITH m AS (SELECT doc_id, text, {_MARKS.format(x='text')} AS st FROM documents),
+_MOJI_STEPS = f"""m AS (SELECT doc_id, text, {_MARKS.format(x='text')} AS st FROM documents),
  c AS (SELECT doc_id, text, st, CASE WHEN st > 0 AND NOT regexp_matches(translate(text, {q(_CP)}, ''), '[^\\x00-\\x7F]')
    THEN {_bytes_as_utf8(f"translate(text, {q(_CP)}, {q(_L1)})")} END AS a,
    CASE WHEN st > 0 AND NOT regexp_matches(text, '[^\\x00-\\x{{FF}}]') THEN {_bytes_as_utf8('text')} END AS b FROM m),
- s AS (SELECT doc_id, text, a, b, st, {_MARKS.format(x='a')} AS sa, {_MARKS.format(x='b')} AS sb FROM c)
- SELECT doc_id, md5(CASE WHEN a IS NOT NULL AND sa < st AND (b IS NULL OR sa <= sb) THEN a
-   WHEN b IS NOT NULL AND sb < st THEN b ELSE text END) AS repaired, st AS score FROM s"""
+ s AS (SELECT doc_id, text, a, b, st, {_MARKS.format(x='a')} AS sa, {_MARKS.format(x='b')} AS sb FROM c),
+ mended AS (SELECT doc_id, text, st, CASE WHEN a IS NOT NULL AND sa < st AND (b IS NULL OR sa <= sb) THEN a
+   WHEN b IS NOT NULL AND sb < st THEN b ELSE text END AS repaired FROM s)"""
+_MOJI = f"WITH {_MOJI_STEPS} SELECT doc_id, md5(repaired) AS repaired, st AS score FROM mended"
+
+
+def mended(rel: str, key: str) -> str:
+    """CTEs that end in mended(key, text, repaired) over the texts of another relation."""
+    return _MOJI_STEPS.replace("doc_id", key).replace("FROM documents", f"FROM {rel}")
 
 
 @query(_MOJI)

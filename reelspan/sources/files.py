@@ -22,6 +22,50 @@ def read_transcripts(spark: SparkSession, path: str, repair: bool = True) -> Dat
     return repair_transcript(d) if repair else d
 
 
+def scan_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Transcript documents as semi-structured values: one row per JSON document, columns ``file`` and ``doc``. A file is a
+    document or, with ``lines``, has one per line; such files are split between tasks.
+
+    Nothing is unfolded here; ``segment_rows`` turns a document into a row per segment while it is read, so a recording of
+    ten hours is thousands of small rows, never an array that is copied from step to step.
+    """
+    d = spark.read.option("singleVariantColumn", "doc").option("multiLine", not lines).json(path)
+    return d.select(F.col("_metadata.file_path").alias("file"), "doc")
+
+
+def segment_rows(scan: DataFrame, repair: bool = True) -> DataFrame:
+    """(project_id, pos, start, end, text, speaker, words, changed) of every segment of ``scan_transcripts``.
+
+    A document may be a part of a recording: ``first`` is the position of its first segment (0 without it). Values of a wrong
+    type are null, other fields are ignored; documents without a list of segments have none. With ``repair`` damaged text
+    of segments and words is mended here, once, and ``changed`` tells where.
+    """
+    heads = scan.select(
+        F.try_variant_get("doc", F.lit("$.project_id"), "string").alias("project_id"),
+        F.coalesce(F.try_variant_get("doc", F.lit("$.first"), "long"), F.lit(0)).alias("first"),
+        F.try_variant_get("doc", F.lit("$.segments"), "variant").alias("s"),
+    )
+    d = scan.sparkSession.sql("SELECT h.project_id, h.first, t.pos AS i, t.key, t.value AS v FROM {h} h, LATERAL variant_explode(h.s) t", h=heads)
+    d = d.where("key IS NULL")  # an object in place of the list has no segments
+    kinds = {"start": "double", "end": "double", "text": "string", "speaker": "string", "words": f"array<{schemas.WORD}>"}
+    d = d.select("project_id", (F.col("first") + F.col("i")).cast("long").alias("pos"), *[F.try_variant_get("v", F.lit(f"$.{k}"), t).alias(k) for k, t in kinds.items()])
+    if not repair:
+        return d.withColumn("changed", F.lit(False))
+    d = d.withColumns({
+        "_text": tx.repair_mojibake(F.col("text")),
+        "_words": F.transform("words", lambda w: w.withField("word", tx.repair_mojibake(w["word"]))),
+    })
+    same = F.col("text").eqNullSafe(F.col("_text")) & F.col("words").eqNullSafe(F.col("_words"))
+    return d.select("project_id", "pos", "start", "end", F.col("_text").alias("text"), "speaker", F.col("_words").alias("words"), (~same).alias("changed"))
+
+
+def transcript_documents(segments: DataFrame) -> DataFrame:
+    """(project_id, segments, words, duration, text_changed) per recording from ``segment_rows``; sums only, no text is gathered."""
+    return segments.groupBy("project_id").agg(
+        F.count("*").alias("segments"), F.sum(F.coalesce(F.size("words"), F.lit(0))).alias("words"), F.max("end").alias("duration"),
+        F.bool_or("changed").alias("text_changed"))
+
+
 def transcript_segments(transcripts: DataFrame) -> DataFrame:
     """Segments with their 0-based position."""
     return transcripts.select("project_id", F.posexplode("segments").alias("pos", "s")).select(
