@@ -54,7 +54,7 @@ def spoken_words(clips: DataFrame, segments: DataFrame) -> DataFrame:
     heard = F.when(empty, _let(toks, spread).cast(_WORD)).otherwise(timed.cast(_WORD))
     heard = F.when(seg.isNotNull(), heard)
     return overlap_aggregate(
-        clips, segs, "project_id", ["id"], [F.sort_array(F.flatten(F.collect_list(heard))).alias("words")], closed=True
+        clips, segs, "project_id", ["id"], [F.sort_array(F.flatten(F.collect_list(heard))).alias("words")], closed=True, uses=("start", "end", "duration")
     )
 
 

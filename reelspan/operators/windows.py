@@ -163,9 +163,9 @@ def heuristic_moments(windows: DataFrame, p: ClipParams = ClipParams(), lex: Lex
     return top_per_key(d, ["project_id"], pool_order(), p.pool_size).drop("first_text", "last_text", "anchor_pos", "last_pos")
 
 
-def _with_sentences(moments: DataFrame, sentences: DataFrame, closed: bool, slack: float) -> DataFrame:
-    """Add ``_win``: the overlapped sentences in order."""
-    item = F.struct("pos", "start", "end", "text", "speaker", "speakers", "speaker_switches").alias("item")
+def _with_sentences(moments: DataFrame, sentences: DataFrame, closed: bool, slack: float, fields: tuple[str, ...]) -> DataFrame:
+    """Add ``_win``: the overlapped sentences in order, of each its position and ``fields``."""
+    item = F.struct("pos", *fields).alias("item")
     s = sentences.select("project_id", "start", "end", item)
     win = F.sort_array(F.collect_list("r_item")).alias("_win")
     return overlap_aggregate(moments, s, "project_id", ["id"], [win], closed=closed, slack=slack)
@@ -176,19 +176,19 @@ def interval_text(moments: DataFrame, sentences: DataFrame, slack: float = 0.02)
     text = F.array_join(
         F.filter(F.transform("_win", lambda x: tx.strip_ws(x["text"])), lambda t: t != ""), " "
     )
-    return _with_sentences(moments, sentences, False, slack).withColumn("interval_text", text).drop("_win")
+    return _with_sentences(moments, sentences, False, slack, ("text",)).withColumn("interval_text", text).drop("_win")
 
 
 def closed_interval_text(moments: DataFrame, sentences: DataFrame) -> DataFrame:
     """As ``interval_text`` but touching sentences belong to the interval."""
     text = tx.strip_ws(F.array_join(F.transform("_win", lambda x: x["text"]), " "))
-    return _with_sentences(moments, sentences, True, 0.0).withColumn("interval_text", text).drop("_win")
+    return _with_sentences(moments, sentences, True, 0.0, ("text",)).withColumn("interval_text", text).drop("_win")
 
 
 def interval_speaker_metrics(moments: DataFrame, sentences: DataFrame) -> DataFrame:
     """Replace the three speaker columns by metrics over the closed interval."""
     d = _with_sentences(
-        moments.drop("speaker_count", "speaker_switches", "dialogue_score"), sentences, True, 0.0
+        moments.drop("speaker_count", "speaker_switches", "dialogue_score"), sentences, True, 0.0, ("start", "end", "speaker", "speakers", "speaker_switches")
     )
     duration = F.coalesce(
         F.try_element_at("_win", F.lit(-1))["end"] - F.get("_win", F.lit(0))["start"], F.lit(0.0)
