@@ -78,10 +78,18 @@ def cluster_recordings(items: DataFrame, p: SpeakerParams = SpeakerParams(), rou
     vector = array_to_vector("u")
     for _ in range(rounds):
         means = _gathered(_assigned(many, centres), Summarizer.mean(vector), "m")
-        centres = cut_lineage(means.select("project_id", "k", F.transform("m", lambda x: x["v"]).alias("c")))
+        moved = cut_lineage(means.select("project_id", "k", F.transform("m", lambda x: x["v"]).alias("c")))
+        # centres that stay where they are give the same clusters again
+        far = F.exists(F.arrays_zip("c", "old"), lambda x: F.exists(F.arrays_zip(x["c"], x["old"]), lambda y: F.abs(y["c"] - y["old"]) > 1e-12))
+        old = centres.select("project_id", "k", F.col("c").alias("old"))
+        rest = moved.join(old, ["project_id", "k"]).where((F.size("c") != F.size("old")) | far)
+        centres = moved
+        if rest.isEmpty():
+            break
     done = cut_lineage(_assigned(many, centres))
 
-    sums = _gathered(done, Summarizer.sum(vector), "s").join(counts, "project_id")
+    # figures per recording and number of voices, read by all that follows
+    sums = cut_lineage(_gathered(done, Summarizer.sum(vector), "s").join(counts, "project_id"))
     mean = F.transform("s", lambda x: unit(x["v"]))
     gaps = F.flatten(F.transform("_mean", lambda x, i: F.transform(F.filter("_mean", lambda y, j: j > i), lambda y: distance(x, y))))
     smallest = F.when(F.col("items") < 8, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("items") * 0.03)))
@@ -95,10 +103,10 @@ def cluster_recordings(items: DataFrame, p: SpeakerParams = SpeakerParams(), rou
     silhouette = F.when(F.greatest("_a", "_b") > 0, (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(0.0)
     scores = s.groupBy("project_id", "k").agg((F.avg(F.when(F.col("_a").isNotNull(), silhouette).otherwise(0.0))).alias("_score"))
     scores = scores.withColumn("_score", tx.round_to(F.col("_score") - F.greatest(F.lit(0), F.col("k") - 2) * 0.008, 9))
-    best = scores.where("_score >= 0.10").groupBy("project_id").agg(F.max_by("k", F.struct("_score", -F.col("k"))).alias("k"))
+    best = cut_lineage(scores.where("_score >= 0.10").groupBy("project_id").agg(F.max_by("k", F.struct("_score", -F.col("k"))).alias("k")))
     chosen = done.join(best, ["project_id", "k"]).select("project_id", "pos", "cluster")
     single = many.join(best, "project_id", "left_anti").select("project_id", "pos", F.lit(0).alias("cluster"))
-    return few.unionByName(chosen).unionByName(single)
+    return cut_lineage(few.unionByName(chosen).unionByName(single))
 
 
 def label_by_first_seen(clusters: DataFrame) -> DataFrame:
