@@ -25,15 +25,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """sid, source, source_size, target, mean, n: one row per source of ``sizes`` (source, size).
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, times: str = "1") -> DataFrame:
+    """sid, source, source_size, target, mean, n: one row per source of ``sizes`` (source, size), whose rows stand for ``times`` documents.
 
     Sources in code point order, null last, take the weights in turn and share ``share`` of all words; no target is
     above ``most`` times its source's size, what is cut goes to the others by weight. With c(w) = least c at which the
     targets min(most * size, c * weight) reach the sum: sources are capped in the order of size / weight, and the first
     c that is not above the next ratio is the one. The windows see one row per source.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    s = sizes.groupBy("source").agg(F.sum(F.expr(f"size * {times}")).alias("source_size"), F.sum(F.expr(times)).alias("n"))
     place = F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1
     s = s.withColumn("sid", place)
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights)).cast("int") + 1))
@@ -79,15 +79,21 @@ def solve(counts: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
 def balance(sized: DataFrame, most: int = MOST) -> DataFrame:
     """``sized`` (source, size long, and names of the row) with source_size, target and copies, one row per row.
 
-    The rows are staged once; the sources' numbers are joined to them. A source of any number of rows is cut into
-    blocks of about ROWS_A_BLOCK by a hash. Null sources are one source; rows without words cost nothing and keep
-    about one copy; a target of zero takes nothing. Reruns agree: all sums that decide are exact.
+    Rows that are equal in all columns are one item with their number, ``_m``, until the end, when its copies are dealt to
+    them evenly. Items are named by their columns, so that what is rounded and corrected depends on the data alone:
+    reruns agree under any order and partitioning of the rows, and all sums that decide are exact. The items are staged
+    once; the sources' numbers are joined to them. A source of any number of items is cut into blocks of about
+    ROWS_A_BLOCK by a hash. Null sources are one source; rows without words cost nothing and keep about one copy; a
+    target of zero takes nothing. An empty table gives an empty table.
     """
-    rows = stage(sized.withColumn("_row", F.monotonically_increasing_id()))
-    sources = stage(source_targets(rows, most=most))
+    names = [c for c in sized.columns if c not in ("source", "size")]
+    rows = sized.groupBy(*sized.columns).agg(F.count("*").alias("_m"))
+    h = F.xxhash64(*names, "source", "size", F.lit(7))
+    rows = stage(rows.withColumn("_row", F.struct(h.alias("_h"), *names, "source", "size")))
+    sources = stage(source_targets(rows, most=most, times="_m"))
     rows = rows.withColumn("_s", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     named = sources.withColumn("_s", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).drop("source")
-    counts = stage(rows.groupBy("_s", "size").agg(F.count("*").alias("n")).join(named.select("_s", "sid"), "_s").select("sid", "size", "n"))
+    counts = stage(rows.groupBy("_s", "size").agg(F.sum("_m").alias("n")).join(named.select("_s", "sid"), "_s").select("sid", "size", "n"))
     lams = solve(counts, sources, most)
     known = stage(named.join(lams, "sid", "left"))
 
@@ -96,26 +102,31 @@ def balance(sized: DataFrame, most: int = MOST) -> DataFrame:
     blocks = max(1, -(-n // ROWS_A_BLOCK))
     z = F.col("size") / F.col("mean")
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(most / (1 + F.exp(-F.col("lam") * z)))
-    h = F.xxhash64("_row", F.lit(7))
-    d = rows.join(known, "_s").withColumns({"_h": h, "_block": F.pmod(h, F.lit(blocks)).cast("int"), "_r": F.round(rate * unit).cast("long")})
+    d = rows.join(known, "_s").withColumns({"_block": F.pmod("_row._h", F.lit(blocks)).cast("int"), "_r": F.round(rate * unit).cast("long") * F.col("_m")})
     # every other block runs backwards, so that sizes do not jump where blocks meet
     way = F.when(F.col("_block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    here = F.sum("_r").over(W.partitionBy("sid", "_block").orderBy(way, "_h", "_row"))
+    here = F.sum("_r").over(W.partitionBy("sid", "_block").orderBy(way, "_row"))
     carry = d.groupBy("sid", "_block").agg(F.sum("_r").alias("_sum"))
     carry = carry.select("sid", "_block", (F.sum("_sum").over(W.partitionBy("sid").orderBy("_block")) - F.col("_sum")).alias("_before"))
     d = d.withColumn("_here", here).join(carry, ["sid", "_block"])
     upto = F.col("_before") + F.col("_here") + unit // 2
-    d = d.withColumn("copies", (F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("_r"), UNIT_BITS)).cast("int"))
-    d = stage(d.drop("_h", "_block", "_r", "_here", "_before", "mean", "n", "lam", "_s"))
+    d = d.withColumn("copies", (F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("_r"), UNIT_BITS)))
+    d = stage(d.drop("_block", "_r", "_here", "_before", "mean", "n", "lam", "_s"))
     moves = _corrections(d, most)
-    d = d.join(moves, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_move", F.lit(0)))
-    return d.drop("_row", "sid", "_move")
+    # names are never null as a whole, and equal ones have equal hashes
+    d = d.join(moves, "_row", "left").withColumn("_all", F.col("copies") + F.coalesce("_move", F.lit(0)))
+    # the rows of an item again, in two steps, as their number has no bound; the first ones take what cannot be dealt evenly
+    many = 4_096
+    d = d.withColumn("_page", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / many))))
+    d = d.withColumn("_i", F.explode(F.sequence(F.col("_page") * many, F.least((F.col("_page") + 1) * many, "_m") - 1)))
+    copies = F.floor(F.col("_all") / F.col("_m")) + (F.col("_i") < F.col("_all") % F.col("_m")).cast("int")
+    return d.withColumn("copies", copies.cast("int")).drop("_row", "sid", "_move", "_m", "_all", "_page", "_i")
 
 
 def _corrections(d: DataFrame, most: int, rounds: int = 4) -> DataFrame:
     """_row, _move (+1 or -1): per source at most ``rounds`` documents whose size is nearest to the gap that is left."""
     gap = d.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    up = F.min(F.when(F.col("copies") < most, F.col("_row"))).alias("up")
+    up = F.min(F.when(F.col("copies") < F.col("_m") * most, F.col("_row"))).alias("up")
     down = F.min(F.when(F.col("copies") > 0, F.col("_row"))).alias("down")
     sizes = stage(d.where("size > 0").groupBy("sid", "size").agg(up, down))
     gap = gap.withColumn("used", F.array().cast("array<bigint>"))
