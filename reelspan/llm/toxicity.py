@@ -27,6 +27,8 @@ from reelspan.llm.common import keep_rows, row_keys, stage
 EXAMPLES, FEATURES, NEIGHBOURS, EVIDENCE = 20_000, 4096, 15, 5
 #: A feature is in at least so many examples, and its chi-square (one degree of freedom) is so large.
 LEAST_EXAMPLES, LEAST_CHI2 = 4, 20.0
+#: Vectors whose votes one task takes, and the number of vectors that may each be had by more than its share of the rows.
+VECTORS_A_TASK, OFTEN = 1000, 1000
 BLOCK, NEARNESS, PRIOR_WEIGHT = 256, 0.05, 0.5
 #: A text that shows nothing is not called toxic, whatever share of the examples is.
 MOST_WITHOUT = 0.49
@@ -45,10 +47,16 @@ def features(text: str | None) -> Counter:
     return out
 
 
-def _hits(text: str | None, vocabulary: dict[str, int]) -> tuple[list[int], list[int]]:
+def _stems(vocabulary: dict[str, int]) -> set[str]:
+    """How words begin that can have a feature of the vocabulary."""
+    return {f.removeprefix("^")[:_BEGINNINGS[0]] for f in vocabulary}
+
+
+def _hits(text: str | None, vocabulary: dict[str, int], stems: set[str]) -> tuple[list[int], list[int]]:
     """The features of a text that are in the vocabulary, ascending, and how often they occur."""
     found: dict[int, int] = {}
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+    k = _BEGINNINGS[0]
+    for w, n in Counter([w for w in _WORD.findall((text or "").lower()) if w[:k] in stems]).items():
         for f in (w, *("^" + w[:k] for k in _BEGINNINGS if len(w) > k)):
             i = vocabulary.get(f)
             if i is not None:
@@ -169,18 +177,28 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 
 def _distinct(sample: DataFrame) -> DataFrame:
     """Examples without copies and near copies, which would make every word of a text that is often repeated speak for
-    its label: of those that share the first or the second minimum of their shingles' hashes one stays."""
+    its label: of the texts of one label that verified links of Jaccard 0.8 connect one stays, by a hash of its id."""
+    s = stage(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text"))
+    groups = minhash.near_components(s, lower=True).join(s.select("doc_id", "label"), "doc_id")
+    one = groups.groupBy("component", "label").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("doc_id"))
+    return stage(s.join(one.select("doc_id"), "doc_id", "left_semi"))
+
+
+def _document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
+    """In how many rows each feature occurs. vectors: f (features), rows; a task adds its vectors up before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size)
         for b in batches:
-            sigs = [minhash.signature(t.as_py())[:2].astype("<i8") for t in b.column("text")]
-            cols = [pa.array([int(s[k]) for s in sigs], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", "label", "text")), *cols], names=["doc_id", "label", "text", "m1", "m2"])
-
-    s = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
-    s = stage(s.mapInArrow(run, "doc_id long, label int, text string, m1 long, m2 long"))
-    one = s.groupBy("m1").agg(F.min_by(F.struct("doc_id", "m2"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("x"))
-    two = one.groupBy("x.m2").agg(F.min("x.doc_id").alias("doc_id")).select("doc_id")
-    return stage(s.join(two, "doc_id", "left_semi").select("doc_id", "label", "text"))
+            f = b.column("f")
+            rows = np.repeat(b.column("rows").to_numpy(), f.value_lengths().to_numpy())
+            df += np.bincount(f.flatten().to_numpy(), rows, size)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at].astype(np.int64))], names=["f", "n"])
+
+    out = np.zeros(size)
+    for r in vectors.select("f", "rows").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # a row a feature
+        out[r.f] = r.n
+    return out
 
 
 def _select(sample: DataFrame) -> dict[str, int]:
@@ -215,22 +233,22 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     sample = _distinct(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     taught = stage(sample.select("doc_id", "label"))
     vocabulary = _select(sample)
-    words = spark.sparkContext.broadcast(vocabulary)
+    words = spark.sparkContext.broadcast((vocabulary, _stems(vocabulary)))
 
     k1, k2 = row_keys()
     cols = docs.select(k1.alias("_k1"), k2.alias("_k2"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [_hits(t.as_py(), words.value) for t in b.column("text")]
+            hits = [_hits(t.as_py(), *words.value) for t in b.column("text")]
             lists = [pa.array([list(h) for h in col], pa.list_(pa.int32())) for col in zip(*hits)] if hits else [pa.array([], pa.list_(pa.int32()))] * 2
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("_k1", "_k2", "doc_id")), *lists], names=["_k1", "_k2", "doc_id", "f", "n"])
 
     hits = stage(cols.mapInArrow(find, "_k1 long, _k2 long, doc_id long, f array<int>, n array<int>"))
     total = hits.count()
-    df = np.zeros(len(vocabulary))
-    for r in hits.select(F.explode("f").alias("f")).groupBy("f").count().collect():  # a row a feature
-        df[r.f] = r["count"]
+    # many texts show the same features equally often: each such vector is counted and judged once
+    vectors = stage(hits.groupBy("f", "n").agg(F.count("*").alias("rows")))
+    df = _document_frequencies(vectors, len(vocabulary))
     known = hits.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("f", "n")).alias("v"))
     known = known.select("doc_id", "label", "v.f", "v.n").collect()  # the examples, bounded
     none = [r.label for r in known if not r.f]
@@ -242,23 +260,20 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, {}
+        m = shared.value
         for b in batches:
-            out = []
-            for f, n in zip(b.column("f").to_pylist(), b.column("n").to_pylist()):
-                key = (*f, -1, *n)
-                if key not in seen:
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    share, ids, nearest = m.vote(f, n)
-                    seen[key] = (m.calibrated(share), ids, nearest)
-                out.append(seen[key])
-            s, ids, near = zip(*out) if out else ((), (), ())
+            out = [m.vote(f, n) for f, n in zip(b.column("f").to_pylist(), b.column("n").to_pylist())]
+            share, ids, near = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in ("_k1", "_k2", "doc_id")), pa.array(s, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(near, pa.float64())],
-                names=["_k1", "_k2", "doc_id", "score", "evidence", "nearest"])
-
-    d = hits.mapInArrow(judge, "_k1 long, _k2 long, doc_id long, score double, evidence array<long>, nearest double")
+                [*(b.column(k) for k in ("f", "n", "rows")), pa.array([m.calibrated(x) for x in share], pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(near, pa.float64())],
+                names=["f", "n", "rows", "score", "evidence", "nearest"])
+
+    # a vote is dear and its row narrow: tasks are dealt by number, not by bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // VECTORS_A_TASK))
+    votes = stage(vectors.repartition(tasks, "f", "n").mapInArrow(judge, "f array<int>, n array<int>, rows long, score double, evidence array<long>, nearest double"))
+    often = F.col("rows") * OFTEN > total  # of less than OFTEN vectors, so that their votes can be sent to all tasks
+    hot, rest = (votes.where(c).drop("rows") for c in (often, ~often))
+    d = hits.join(F.broadcast(hot), ["f", "n"]).unionByName(hits.join(F.broadcast(hot.select("f", "n")), ["f", "n"], "left_anti").join(rest, ["f", "n"]))
     return d.select("_k1", "_k2", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "nearest")
 
 
