@@ -2,7 +2,7 @@
 
 DataFrame functions only. Vectors are sparse rows (unit, word, weight): weight = count * idf, idf = ln((1 + files) /
 (1 + files with the word)) + 1 with counts over all files; words in no template weigh as if no file had them. A unit
-is a sentence (or line) of a file, or the whole text of a file with a licence file's name. A unit's cosine can only
+is a sentence of a file, within its line or over line ends, or the whole text of a file with a licence file's name. A unit's cosine can only
 reach the threshold if it has one of a template's heaviest words, those without which what is left is too short a
 vector; only such units are compared.
 """
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspan.llm.common import row_keys, stage
 
-#: Sentences of well-known public licenses; a license may have several.
+_NOTICE = ("This {} is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, "
+           "either version {} of the License, or (at your option) any later version")
+#: Sentences, source notices, titles and tags of well-known public licenses; a license may have several.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -34,6 +36,27 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    # the published notice for source files
+    ("GPL-2.0", _NOTICE.format("program", "GNU General Public License", "2")),
+    ("GPL-3.0", _NOTICE.format("program", "GNU General Public License", "3")),
+    ("LGPL-2.1", _NOTICE.format("library", "GNU Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _NOTICE.format("library", "GNU Lesser General Public License", "3")),
+    ("AGPL-3.0", _NOTICE.format("program", "GNU Affero General Public License", "3")),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    # the title of the published text
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    # the tag of source files
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tag in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"),
+        *((f"{k}GPL-{v}", f"{k}GPL-{v}{end}") for k, v in (("", "2.0"), ("", "3.0"), ("L", "2.1"), ("L", "3.0"), ("A", "3.0")) for end in ("", "-only", "-or-later")))),
 )
 THRESHOLD = 0.75
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying)([.-][^/]*)?$"
@@ -48,6 +71,12 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
 
 
+def wrapped_sentences(text: Column) -> Column:
+    """Sentences that may run over line ends; a line without a letter or digit ends one."""
+    blocks = F.regexp_replace(text, "\n([^A-Za-z0-9\n]*\n)+", "\x01")
+    return F.split(F.translate(F.regexp_replace(F.translate(blocks, "\n", " "), r"([.!?])[ \t]+", "$1\n"), "\x01", "\n"), "\n")
+
+
 def directory(path: Column) -> Column:
     """What stands before the last slash; empty at the top."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
@@ -100,7 +129,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     pattern = "(^|[^a-z0-9])(" + "|".join(sorted(_key_words(counts, idf, threshold))) + ")($|[^a-z0-9])"
     some = d.where(F.lower("text").rlike(pattern))
     whole = F.when(F.coalesce(F.col("path"), F.lit("")).rlike(LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = some.select("_k1", "_k2", F.posexplode(F.concat(whole, sentences(F.col("text")))).alias("unit", "u"))
+    units = some.select("_k1", "_k2", F.posexplode(F.array_union(F.concat(whole, sentences(F.col("text"))), wrapped_sentences(F.col("text")))).alias("unit", "u"))
     units = units.select("_k1", "_k2", "unit", words(F.col("u")).alias("ws")).where(F.arrays_overlap("ws", keys))
     tf = units.select("_k1", "_k2", "unit", F.explode("ws").alias("w")).groupBy("_k1", "_k2", "unit", "w").count()
     table = spark.createDataFrame([(w, float(i)) for w, i in idf.items()], "w string, idf double")
@@ -152,7 +181,9 @@ def oracle(files: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> str
  idf AS (SELECT DISTINCT tw.w, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM tw LEFT JOIN df USING (w)),
  tv AS (SELECT t, license, w, k * idf / sqrt(sum((k * idf) ** 2) OVER (PARTITION BY t)) AS y FROM tw JOIN idf USING (w)),
  s AS (SELECT doc_id, path, list_concat(CASE WHEN regexp_matches(path, '{LICENSE_FILE}') THEN [text] ELSE [] END,
-   string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) AS us FROM f),
+   list_concat(string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)),
+   string_split(translate(regexp_replace(translate(regexp_replace(text, '\\n([^A-Za-z0-9\\n]*\\n)+', chr(1), 'g'), chr(10), ' '),
+    '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(1), chr(10)), chr(10)))) AS us FROM f),
  u AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS unit FROM s),
  tf AS (SELECT doc_id, unit, w, count(*) AS k FROM (SELECT doc_id, unit, unnest({take.format('u')}) AS w FROM u) GROUP BY ALL),
  v AS (SELECT doc_id, unit, tf.w, k * coalesce(idf, ln(1.0 + (SELECT count(*) FROM f)) + 1) AS x FROM tf LEFT JOIN idf USING (w)),
