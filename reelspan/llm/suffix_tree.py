@@ -9,8 +9,11 @@ longest kept suffix of what precedes it. The root gives the discounted mass to t
 
 Everything is held in chunks of documents. A chunk sends each (context, next token) pair it has once, with its count in
 training texts, to the group that owns the context, and gets back the numbers of the kept ones. Nothing of the model
-passes the driver but four sums; the number of states grows with the corpus. Words and contexts are named by 64-bit
-hashes; within a group 32 bits of each are compared.
+passes the driver but four sums; the number of states grows with the corpus. A chunk has ``FANOUT`` rows to send at
+most: where there are more groups, pairs travel over relays, each of which adds up the pairs of about as many chunks,
+sends the sums on by the next digit of the group's number, and hands the answers back. So rows grow with the text, and
+the pairs of a frequent context arrive added up. Words and contexts are named by 64-bit hashes; the group's number and 32
+further bits of a context are compared, and 32 bits of the next token.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from reelspan.llm.minhash import _mix, words_at
 from reelspan.session import ensure_checkpoint_dir
 
 #: Longest context, nats a context must gain, discount of its counts, tokens of a chunk, chunks (of six bytes a token) to
-#: a group.
-DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP = 3, 2.0, 0.75, 1 << 20, 4
+#: a group, rows a chunk or a relay sends at most.
+DEPTH, LEAST_GAIN, DISCOUNT, CHUNK, CHUNKS_A_GROUP, FANOUT = 3, 2.0, 0.75, 1 << 20, 4, 64
 _U = np.uint64
 END, BEGIN, _STEP = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179), _U(0xC2B2AE3D27D4EB4F)
 #: ln p is sent in tenths for the divergence test only; scores use it in full.
@@ -116,8 +119,8 @@ def _by_chunk(chunks: DataFrame, groups: int) -> DataFrame:
 class Chunk:
     """One chunk's tokens with the probabilities of the states known so far."""
 
-    def __init__(self, row: dict, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]], totals: tuple[int, int, float], groups: int):
-        self.groups = groups
+    def __init__(self, row: dict, answers: dict[tuple[int, int], tuple[bytes, bytes, bytes]], totals: tuple[int, int, float], fan: int):
+        self.fan = fan
         self.words = np.frombuffer(row["words"], _U)
         self.token = _unpack(row["tokens"], "<u4").astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
@@ -125,9 +128,9 @@ class Chunk:
         self.train = np.repeat(np.array(row["train"], bool), self.sizes)
         self.number = row["chunk"]
         # root
-        order, cuts = split(self.words, self.words, groups)
+        order, cuts = by_digit(self.words, fan, np.argsort(self.words))
         self.count = np.zeros(len(self.words), np.int64)
-        for g in range(groups):
+        for g in range(fan):
             if (0, g) in answers:
                 self.count[order[cuts[g]:cuts[g + 1]]] = _unpack(answers[0, g][0], "<u4")
         tokens, kinds, discount = totals
@@ -142,7 +145,7 @@ class Chunk:
                 break
             _, _, order, cuts, inverse = pairs
             a, b = np.zeros(len(order)), np.full(len(order), -1.0)
-            for g in range(groups):
+            for g in range(fan):
                 if (level, g) in answers:
                     mask, n, context = (_unpack(x, kind) for x, kind in zip(answers[level, g], ("<u1", "<u4", "<u4")))
                     where = order[cuts[g]:cuts[g + 1]]
@@ -153,8 +156,8 @@ class Chunk:
             self.p[self.at] = a[inverse][kept] + b[inverse][kept] * self.p[self.at]
 
     def pairs(self, level: int):
-        """Distinct (context, next token) pairs of the tokens that are still in the tree: keys, tokens, the order by
-        group and key and the groups' bounds in it, and each token's pair. Narrows to tokens with so long a context."""
+        """Distinct (context, next token) pairs of the tokens that are still in the tree: keys, contexts, the order by
+        digit and key and the digits' bounds in it, and each token's pair. Narrows to tokens with so long a context."""
         back = self.at - level
         start = np.repeat(self.first, self.sizes)[self.at]
         there = back >= start - 1  # one BEGIN stands before each document
@@ -164,21 +167,29 @@ class Chunk:
         word = np.where(back >= start, self.words[self.token[np.maximum(back, 0)]], BEGIN)
         with np.errstate(over="ignore"):
             self.context[self.at] = _mix(self.context[self.at] * _STEP + word + _U(level))
-        context, token = self.context[self.at], self.token[self.at]
-        with np.errstate(over="ignore"):
-            name = _mix(context * _STEP + self.words[token])  # 64 bits name the pair within the chunk
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        contexts, tokens = context[first], token[first]
-        keys = (_mix(contexts) & ~_U(0xFFFFFFFF)) | (self.words[tokens] >> _U(32))
-        order, cuts = split(contexts, keys, self.groups)
-        return keys, tokens, order, cuts, inverse
+        context = self.context[self.at]
+        keys, first, inverse = distinct((_mix(context) & ~_U(0xFFFFFFFF)) | (self.words[self.token[self.at]] >> _U(32)))
+        return keys, context[first], *by_digit(context[first], self.fan), inverse
+
+
+def distinct(keys: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, one place of each, and each row's number among them."""
+    order = np.argsort(keys, kind=kind)
+    ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[:len(keys)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], inverse
 
 
-def split(owner: np.ndarray, keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the group that owns a row and by key, and the groups' bounds in it."""
-    g = (owner % _U(groups)).astype(np.int64)
-    order = np.lexsort((keys, g))
-    return order, np.searchsorted(g[order], np.arange(groups + 1))
+def by_digit(owner: np.ndarray, fan: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in stable order (after ``order``) by their next group digit, and the digits' bounds in it."""
+    digit = (owner % _U(fan)).astype(np.uint16)
+    if order is None:
+        order = np.argsort(digit, kind="stable")
+    else:
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order, np.searchsorted(digit[order], np.arange(fan + 1))
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -191,43 +202,111 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
 
 # --- counting and growing -------------------------------------------------------------------------------------------
 
-_ASK = "g int, chunk long, keys binary, counts binary, tenths binary"
-_ANSWER = "chunk long, level int, g int, x binary, y binary, z binary, tokens long, kinds long, ones long, twos long"
+_ASK = "g long, chunk long, keys binary, counts binary, tenths binary, path binary"
+_ASK_NAMES = [c.split()[0] for c in _ASK.split(", ")]
+_ASK_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_ANSWER = "chunk long, level int, g long, x binary, y binary, z binary, tokens long, kinds long, ones long, twos long"
 _ANSWER_NAMES = [c.split()[0] for c in _ANSWER.split(", ")]
-_ANSWER_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_ANSWER_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+
+def _table(rows: list[tuple], names, kinds) -> pa.Table:
+    cols = zip(*rows) if rows else [()] * len(kinds)
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+
+
+def questions(source: int, node: int, keys, n, tenths, path, order, cuts, hops: int) -> list[tuple]:
+    """A row for each next digit that some key has. path: what is left of the keys' group numbers after this digit."""
+    out = []
+    for d, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if low < high:
+            o = order[low:high]
+            out.append((node * (len(cuts) - 1) + d, source, _pack_sorted(keys[o]), _pack(n[o].astype("<u4")), _pack(tenths[o]) if len(tenths) else b"",
+                        _pack(path[o].astype("<u8")) if hops > 1 else b""))
+    return out
+
+
+class Asked:
+    """The keys of several questions, added up."""
+
+    def __init__(self, table: pa.Table):
+        self.rows = table.to_pylist()
+        keys = [_unpack_sorted(r["keys"]) for r in self.rows]
+        self.sizes = [len(k) for k in keys]
+        self.keys, self.first, self.inverse = distinct(np.concatenate(keys), "stable")  # runs are in order already
+        self.n = np.bincount(self.inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in self.rows])).astype(np.int64)
+
+    def plane(self, name: str, kind: str) -> np.ndarray:
+        """A further array of the questions, empty if they have none."""
+        return np.concatenate([_unpack(r[name], kind) for r in self.rows])[self.first] if self.rows[0][name] else np.empty(0, kind)
+
+    def answers(self, level: int, kept: np.ndarray, n: np.ndarray, *context: np.ndarray) -> list[tuple]:
+        """To each asker: which of its keys are kept, their counts, and two figures of their contexts. At the root: counts."""
+        out, at = [], 0
+        for r, size in zip(self.rows, self.sizes):
+            pair = self.inverse[at:at + size]
+            at += size
+            if level == 0:
+                out.append((r["chunk"], 0, r["g"], _pack(n[pair].astype("<u4")), None, None, 0, 0, 0, 0))
+            elif (mask := kept[pair]).any():
+                pair = pair[mask]
+                figures = _pack(np.concatenate([c[pair] for c in context]).astype("<u4"))
+                out.append((r["chunk"], level, r["g"], _pack(np.packbits(mask)), _pack(n[pair].astype("<u4")), figures, 0, 0, 0, 0))
+        return out
+
+
+def _relay(fan: int, hops: int):
+    """Adds up the questions of a block of askers and sends them on by the next digit; ``hops`` are left."""
+    def run(table: pa.Table) -> pa.Table:
+        a = Asked(table)
+        path = a.plane("path", "<u8")
+        order, cuts = by_digit(path, fan)
+        block, node = a.rows[0]["block"], a.rows[0]["g"]
+        return _table(questions(block, node, a.keys, a.n, a.plane("tenths", "<u1"), path // _U(fan), order, cuts, hops), _ASK_NAMES, _ASK_KINDS)
+
+    return run
+
 
+def _hand_back(fan: int, level: int):
+    """Answers to a relay's questions become answers to its askers."""
+    def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        if not asked.num_rows or not answers.num_rows:
+            return _table([], _ANSWER_NAMES, _ANSWER_KINDS)
+        a = Asked(asked)
+        order, cuts = by_digit(a.plane("path", "<u8"), fan)
+        kept = np.zeros(len(a.keys), bool)
+        n, size, nexts = (np.zeros(len(a.keys), np.int64) for _ in range(3))
+        for r in answers.select(["digit", "x", "y", "z"]).to_pylist():
+            where = order[cuts[r["digit"]]:cuts[r["digit"] + 1]]
+            if level == 0:
+                n[where] = _unpack(r["x"], "<u4")
+            else:
+                where = where[np.unpackbits(_unpack(r["x"], "<u1"), count=len(where)).view(bool)]
+                kept[where], n[where] = True, _unpack(r["y"], "<u4")
+                size[where], nexts[where] = np.split(_unpack(r["z"], "<u4"), 2)
+        return _table(a.answers(level, kept, n, size, nexts), _ANSWER_NAMES, _ANSWER_KINDS)
 
-def _ask_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    cols = zip(*rows) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["g", "chunk", "keys", "counts", "tenths"])
+    return run
 
 
-def _ask_words(groups: int):
+def _ask_words(fan: int, hops: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                c = Chunk(row, {}, (0, 0, 0.0), groups)
+                c = Chunk(row, {}, (0, 0, 0.0), fan)
                 n = np.bincount(c.token[c.train], minlength=len(c.words))
-                order, cuts = split(c.words, c.words, groups)
-                yield _ask_batch([(g, c.number, _pack_sorted(c.words[o]), _pack(n[o].astype("<u4")), b"")
-                                  for g in range(groups) if len(o := order[cuts[g]:cuts[g + 1]])])
+                out = questions(c.number, 0, c.words, n, (), c.words // _U(fan), *by_digit(c.words, fan, np.argsort(c.words)), hops)
+                yield from _table(out, _ASK_NAMES, _ASK_KINDS).to_batches()
 
     return run
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Counts of a group's words, given back to each chunk in the order it asked; the group's totals in the first row."""
-    rows = table.to_pylist()
-    keys = [_unpack_sorted(r["keys"]) for r in rows]
-    kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
-    out, at = [], 0
-    for i, (r, k) in enumerate(zip(rows, keys)):
-        sums = (int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())) if i == 0 else (0, 0, 0, 0)
-        out.append((r["chunk"], 0, r["g"], _pack(total[inverse[at:at + len(k)]].astype("<u4")), None, None, *sums))
-        at += len(k)
-    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), _ANSWER_KINDS)], names=_ANSWER_NAMES)
+    """Counts of a group's words, given back to each asker in its order; the group's totals in the first row."""
+    a = Asked(table)
+    out = a.answers(0, None, a.n)
+    out[0] = (*out[0][:6], int(a.n.sum()), int((a.n > 0).sum()), int((a.n == 1).sum()), int((a.n == 2).sum()))
+    return _table(out, _ANSWER_NAMES, _ANSWER_KINDS)
 
 
 def kept_contexts(context: np.ndarray, n: np.ndarray, ln_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,56 +331,68 @@ def shares(n: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarr
 
 def _grow(level: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [_unpack_sorted(r["keys"]) for r in rows]
-        kinds, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype(np.int64)
-        ln_p = np.concatenate([_unpack(r["tenths"], "<u1") for r in rows])[first] / -_TENTHS
-        kept, size, nexts = kept_contexts(kinds >> _U(32), n, ln_p)
-        out, at = [], 0
-        for r, k in zip(rows, keys):
-            pair = inverse[at:at + len(k)]
-            at += len(k)
-            mask = kept[pair]
-            if mask.any():
-                pair = pair[mask]
-                out.append((r["chunk"], level, r["g"], _pack(np.packbits(mask)), _pack(n[pair].astype("<u4")), _pack(np.concatenate([size[pair], nexts[pair]]).astype("<u4")), 0, 0, 0, 0))
-        cols = zip(*out) if out else [()] * len(_ANSWER_KINDS)
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, _ANSWER_KINDS)], names=_ANSWER_NAMES)
+        a = Asked(table)
+        kept, size, nexts = kept_contexts(a.keys >> _U(32), a.n, a.plane("tenths", "<u1") / -_TENTHS)
+        return _table(a.answers(level, kept, a.n, size, nexts), _ANSWER_NAMES, _ANSWER_KINDS)
 
     return run
 
 
-def _with_answers(chunks: pa.Table, answers: pa.Table, totals, groups: int) -> Iterator[Chunk]:
+def _with_answers(chunks: pa.Table, answers: pa.Table, totals, fan: int) -> Iterator[Chunk]:
     given = {(r["level"], r["g"]): (r["x"], r["y"], r["z"]) for r in answers.select(["level", "g", "x", "y", "z"]).to_pylist()}
     for row in chunks.to_pylist():
-        yield Chunk(row, given, totals, groups)
+        yield Chunk(row, given, totals, fan)
 
 
-def _ask_pairs(level: int, totals, groups: int):
+def _ask_pairs(level: int, totals, fan: int, hops: int):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for c in _with_answers(chunks, answers, totals, groups):
+        for c in _with_answers(chunks, answers, totals, fan):
             pairs = c.pairs(level)
             if pairs is None:
                 continue
-            keys, _, order, cuts, inverse = pairs
-            n = np.bincount(inverse, c.train[c.at], minlength=len(keys)).astype("<u4")
+            keys, contexts, order, cuts, inverse = pairs
+            n = np.bincount(inverse, c.train[c.at], minlength=len(keys))
             ln_p = np.zeros(len(keys))
             ln_p[inverse] = np.log(c.p[c.at])
             tenths = np.clip(np.round(-ln_p * _TENTHS), 0, 255).astype("<u1")
-            out += [(g, c.number, _pack_sorted(keys[o]), _pack(n[o]), _pack(tenths[o])) for g in range(groups) if len(o := order[cuts[g]:cuts[g + 1]])]
-        return pa.Table.from_batches([_ask_batch(out)])
+            out += questions(c.number, 0, keys, n, tenths, contexts // _U(fan), order, cuts, hops)
+        return _table(out, _ASK_NAMES, _ASK_KINDS)
 
     return run
 
 
-def _score(totals, groups: int):
+def routes(groups: int, most: int) -> tuple[int, int]:
+    """Digits of a group's number: how many values each has, at most ``most``, and how many there are."""
+    hops = 1
+    while most ** hops < groups:
+        hops += 1
+    fan = 1
+    while fan ** hops < groups:
+        fan += 1
+    return fan, hops
+
+
+def exchange(asked: DataFrame, answer, level: int, fan: int, hops: int, askers: int) -> tuple[DataFrame, DataFrame]:
+    """The answers of the groups to ``askers`` chunks, and the same as the groups gave them."""
+    passed = []
+    for left in range(hops - 1, 0, -1):
+        askers = -(-askers // fan)
+        passed.append(stage(asked.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(askers)))))
+        asked = passed[-1].groupBy("g", "block").applyInArrow(_relay(fan, left), _ASK)
+    given = answers = stage(asked.groupBy("g").applyInArrow(answer, _ANSWER))
+    for questions_ in reversed(passed):
+        back = answers.select(F.expr(f"g div {fan}").alias("g"), F.col("chunk").alias("block"), F.expr(f"cast(g % {fan} as int)").alias("digit"), "x", "y", "z")
+        answers = stage(questions_.groupBy("g", "block").cogroup(back.groupBy("g", "block")).applyInArrow(_hand_back(fan, level), _ANSWER))
+    return answers, given
+
+
+def _score(totals, fan: int):
     tokens, kinds, _ = totals
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         cols = [[] for _ in range(6)]
-        for row, c in zip(chunks.select(["doc_ids", "train"]).to_pylist(), _with_answers(chunks, answers, totals, groups)):
+        for row, c in zip(chunks.select(["doc_ids", "train"]).to_pylist(), _with_answers(chunks, answers, totals, fan)):
             base = np.log10((c.count[c.token] + 1) / (tokens + kinds + 1))
             for col, x in zip(cols, (row["doc_ids"], [not t for t in row["train"]], c.sizes, np.add.reduceat((c.count[c.token] > 0).astype(np.int64), c.first),
                                      np.add.reduceat(base, c.first), np.add.reduceat(np.log10(c.p), c.first))):
@@ -312,7 +403,8 @@ def _score(totals, groups: int):
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, chunk_tokens: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, chunk_tokens: int = CHUNK,
+          fanout: int = FANOUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Tokens are the words of the text with A-Z in lower case and one end. Rows whose crc32(doc_id) mod ``folds`` is
@@ -328,8 +420,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, ch
     release(spark)
     chunks = _by_chunk(cols.mapInArrow(_to_chunks(chunk_tokens), _CHUNK_SCHEMA), groups)
 
-    answers = stage(chunks.mapInArrow(_ask_words(groups), _ASK).groupBy("g").applyInArrow(_count_words, _ANSWER))
-    t = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "ones", "twos")]).first()
+    fan, hops = routes(groups, fanout)
+    askers = chunks.count()
+
+    answers, given = exchange(chunks.mapInArrow(_ask_words(fan, hops), _ASK), _count_words, 0, fan, hops, askers)
+    t = given.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "ones", "twos")]).first()
     discount = t.ones / (t.ones + 2 * t.twos) if t.ones and t.twos else 0.5
     totals = (t.tokens, t.kinds, discount)
 
@@ -337,10 +432,9 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, ch
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(fn, schema)
 
     for level in range(1, depth + 1):
-        asked = together(_ask_pairs(level, totals, groups), _ASK)
-        grown = stage(asked.groupBy("g").applyInArrow(_grow(level), _ANSWER))
+        grown, _ = exchange(together(_ask_pairs(level, totals, fan, hops), _ASK), _grow(level), level, fan, hops, askers)
         answers = answers.union(grown)
-        del asked, grown
+        del grown
         release(spark)
-    out = together(_score(totals, groups), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = together(_score(totals, fan), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(t.tokens).cast("long"))
