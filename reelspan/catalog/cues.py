@@ -11,6 +11,7 @@ from reelspan.functions.text import round2, round_to
 from reelspan.lexicon import MONTAGE_PROFILES, MOTION_SCALES
 from reelspan.operators import boundary as bd, captions as cp, cues as cu
 from reelspan.params import EditParams
+from reelspan.session import cut_lineage
 from reelspan.sources import adapters as ad
 
 QUERIES, ORACLES = {}, {}
@@ -96,7 +97,7 @@ def srt_documents(spark, sf):
 def caption_quality(spark, sf):
     sg = segs(spark, sf)
     clips = clips_of(sg)
-    full = cp.caption_quality(clips, cp.caption_cues(clips, sg, lex=FIX))
+    full = cut_lineage(cp.caption_quality(clips, cp.caption_cues(clips, sg, lex=FIX)))
     local = full.select("project_id", "id", (F.col("tail") + F.col("id") % 4).alias("tail"), (F.col("id") % 5 == 0).alias("synthetic"))
     return full.join(cp.caption_source(full, local), ["project_id", "id"])
 
