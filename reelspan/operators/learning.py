@@ -250,7 +250,8 @@ def out_of_fold_rates(rows: DataFrame, folds: DataFrame) -> DataFrame:
 
 def out_of_fold_model(rows: DataFrame, folds: DataFrame, k: int, p: LearningParams = LearningParams()) -> DataFrame:
     """project_id, label, fold, baseline and model_probability of every row, by the model of the other folds."""
-    d = rows.join(folds, "project_id").cache()
+    # only what the model asks for goes through the join and is kept: a project's rows may meet in one task
+    d = rows.select("project_id", "label", "features", "retention_percent").join(folds, "project_id").cache()
     try:
         scored = None
         for fold in range(k):
