@@ -10,9 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspan.llm import bpe, exact, minhash, mixing, toxicity
+from reelspan.llm import bpe, exact, minhash, mixing, simhash, toxicity
 from reelspan.llm.catalog import vocabulary, word_pattern
-from reelspan.llm.common import DOCUMENT_COLUMNS, table
+from reelspan.llm.common import DOCUMENT_COLUMNS, first_of_groups, table
+from reelspan.llm.components import merge_groups
 from reelspan.session import ensure_checkpoint_dir
 
 
@@ -27,11 +28,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard similarity 0.8 on five-word shingles connect, the one with the smallest doc_id.
+    """One document of each near-copy group, the one with the smallest doc_id.
 
-    Such pairs differ in up to 20 of 64 SimHash bits, which no block index separates from chance; bands of minima find them.
+    SimHash links fingerprints that differ in 2 bits or fewer. Pairs of five-word Jaccard similarity 0.8 differ in up to 20 of
+    64 bits, which no block index separates from chance; bands of minima find these too, and a group holds links of both kinds.
     """
-    return minhash.near_dedup(docs)
+    return first_of_groups(docs, merge_groups(minhash.near_components(docs, lower=True), simhash.near_groups(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
