@@ -92,8 +92,8 @@ def _with_word_facts(words: Column, lex: Lexicon) -> Column:
 
 
 def _chars(words: Column, a: Column, n: Column) -> Column:
-    """Length of n words from index a joined by blanks."""
-    return F.aggregate(F.slice(words, a + 1, n), F.lit(0), lambda s, w: s + w["len"]) + n - 1
+    """Length of n words (one at least) from index a joined by blanks. Words are looked up: a slice copies the whole array first."""
+    return F.aggregate(F.sequence(a, a + n - 1), F.lit(0), lambda s, i: s + F.get(words, i)["len"]) + n - 1
 
 
 def _chunk(words: Column, cap: int) -> Column:
@@ -181,7 +181,7 @@ def caption_cues(clips: DataFrame, segments: DataFrame, max_words: int = 3, lex:
     lo, hi = F.col("start"), F.col("end")
 
     def cue(s: Column, k: Column) -> Column:
-        words = F.slice("_w", s["a"] + 1, s["b"] - s["a"])
+        words = F.transform(F.sequence(s["a"], s["b"] - 1), lambda i: F.get("_w", i))
         nxt = F.get("_spans", k + 1)
         return F.struct(
             (k + 1).alias("idx"), words.alias("words"),
