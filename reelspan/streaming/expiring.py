@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -13,44 +14,78 @@ from reelspan.streaming.versioned import VersionedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _VALUE = "us long, id long, action string, user_rating int"
+_COLUMNS = ("project_id", "candidate_key", "us", "id", "action", "user_rating")
+#: The candidates are dealt to so many states by hash. A checkpoint is bound to the number.
+BUCKETS = 4096
 #: What an output row says: a decision is now the newest one, a candidate's state has expired, a row came too late.
 SET, GONE, LATE = "set", "gone", "late"
 
 
 class LatestDecision(StatefulProcessor):
-    """Keeps one decision per candidate and a timer that ends it ``ttl_us`` after its time."""
+    """Keeps one decision per candidate of a bucket until the clock is ``ttl_us`` past its time, and one timer a bucket.
 
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
+    A call to the state costs far more than a row, and a state per candidate takes several a row. A bucket is read and
+    written once a batch, as parallel arrays; only the buckets of a batch's rows and those with something expired are.
+    """
+
+    def __init__(self, ttl_us: int, project_type: str):
+        self.ttl_us, self.project_type = ttl_us, project_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", _VALUE)
+        self.live = handle.getValueState("live", (
+            f"timer long, project_id array<{self.project_type}>, candidate_key array<long>, us array<long>, id array<long>, action array<string>, user_rating array<int>"))
 
     @staticmethod
     def _out(key: tuple, value: tuple, kind: str) -> Row:
         return Row(project_id=key[0], candidate_key=key[1], us=value[0], id=value[1], action=value[2], user_rating=value[3], kind=kind)
 
+    def _held(self) -> tuple[int | None, dict[tuple, tuple]]:
+        """When the bucket's timer ends, and the decision per (project_id, candidate_key)."""
+        timer, *columns = self.live.get() or (None, *([] for _ in _COLUMNS))
+        return timer, {r[:2]: r[2:] for r in zip(*columns)}
+
+    def _ends(self, value: tuple) -> int:
+        return -(-(value[0] + self.ttl_us) // 1000)
+
+    def _keep(self, timer: int | None, held: dict[tuple, tuple]) -> None:
+        """Write the bucket. Its timer ends with the first decision or before; one that ends earlier finds nothing and is set again."""
+        if not held:
+            self.live.clear()
+            return
+        first = min(map(self._ends, held.values()))
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self.live.update((timer, *map(list, zip(*(k + v for k, v in held.items())))))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         clock = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-        before = held = tuple(self.newest.get()) if self.newest.exists() else None
+        timer, held = self._held()
+        pick, fresh = None, set()
         for r in rows:
-            value = (r.us, r.id, r.action, r.user_rating)
-            if r.us < clock:
-                yield self._out(key, value, LATE)
-            elif held is None or value[:2] > held[:2]:
-                held = value
-        if held != before:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.newest.update(held)
-            self.handle.registerTimer(-(-(held[0] + self.ttl_us) // 1000))
-            yield self._out(key, held, SET)
+            pick = pick or itemgetter(*map(r.__fields__.index, _COLUMNS))
+            row = pick(r)
+            candidate, value = row[:2], row[2:]
+            if value[0] < clock:
+                yield self._out(candidate, value, LATE)
+            elif candidate not in held or value[:2] > held[candidate][:2]:
+                held[candidate] = value
+                fresh.add(candidate)
+        if fresh:
+            self._keep(timer, held)
+            for candidate in fresh:
+                yield self._out(candidate, held[candidate], SET)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = tuple(self.newest.get())
-        self.newest.clear()
-        yield self._out(key, held, GONE)
+        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        _, held = self._held()
+        gone = {c: v for c, v in held.items() if self._ends(v) <= clock}
+        self._keep(None, {c: v for c, v in held.items() if c not in gone})  # Spark drops the timer that has ended
+        for candidate, value in gone.items():
+            yield self._out(candidate, value, GONE)
 
     def close(self) -> None:
         pass
@@ -71,8 +106,9 @@ def expiring_decisions(feedback: DataFrame, delay: str, ttl_sec: int) -> DataFra
     d = d.withColumn("tick", F.explode(F.array(F.timestamp_micros("us"), F.lit(None).cast("timestamp"))))
     d = d.withWatermark("tick", delay).where(F.col("tick").isNull())  # not pushed below the watermark, as it asks for its column
     kind = d.schema["project_id"].dataType.simpleString()
-    return d.groupBy("project_id", "candidate_key").transformWithState(
-        LatestDecision(ttl_sec * 1_000_000), f"project_id {kind}, candidate_key long, {_VALUE}, kind string", "Update", "EventTime")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("project_id", "candidate_key"), F.lit(BUCKETS)))
+    return d.groupBy("bucket").transformWithState(
+        LatestDecision(ttl_sec * 1_000_000, kind), f"project_id {kind}, candidate_key long, {_VALUE}, kind string", "Update", "EventTime")
 
 
 def decisions_table(spark, path: str, compact_every: int = 8) -> VersionedTable:
